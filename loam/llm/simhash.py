@@ -4,10 +4,12 @@ Fingerprints link at `DISTANCE` or fewer differing bits. 64 bits are cut into se
 padded to a 23-bit word of the perfect binary Golay code, which puts every word within 3 errors of exactly one codeword.
 With at most 4 errors over three segments, either a segment has none, or two segments have at most one each:
 
-* no error: the segment itself is a key (3 keys);
-* one error at most in segments i and j: decoding y_i gives a codeword that lies within 4 of x_i, so x lists the codewords
-  within 4 of x_i (6 at most) beside the one of x_j, y the one of y_i beside those within 4 of y_j; the two lists meet in
-  (codeword of y_i, codeword of x_j). 18 keys on either side over the 3 pairs of segments.
+* no error in a segment: the others' bits, cut into 5 pieces, have one without error, so the segment beside each piece is
+  a key (15 keys);
+* one error at most in segments i and j, two at most in segment k: decoding y_i gives a codeword that lies within 4 of
+  x_i, so x lists the codewords within 4 of x_i (6 at most) beside the one of x_j, y the one of y_i beside those within 4
+  of y_j; the two lists meet in (codeword of y_i, codeword of x_j). One of 3 pieces of segment k has no error and makes
+  the key longer. 54 keys on either side over the 3 pairs of segments.
 
 Keys only propose: each candidate pair is verified on all 64 bits. Only connectivity is asked for, so no bucket is
 expanded into all its pairs: bucket members are first tested against the bucket's least fingerprint, which joins a
@@ -119,24 +121,40 @@ def golay() -> Golay:
 EXACT, LEFT, RIGHT = 2, 0, 1  #: sides of a key; a pair of rows is a candidate if its sides are (2, 2) or (0, 1)
 
 
+def _pieces(fps: np.ndarray, segments: list[int], count: int) -> list[np.ndarray]:
+    """The bits of these segments, in order, cut into `count` pieces."""
+    places = np.array([p for k in segments for p in range(SEGMENTS[k][0], sum(SEGMENTS[k]))], np.uint64)
+    out = []
+    for own in np.array_split(places, count):
+        piece = np.zeros(len(fps), np.int64)
+        for n, p in enumerate(own):
+            piece |= (fps >> p & np.uint64(1)).astype(np.int64) << n
+        out.append(piece)
+    return out
+
+
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, row, side) of all keys of fingerprints (uint64)."""
-    code, n = golay(), len(fps)
+    """(key, row, side) of all keys of fingerprints (uint64). A key holds its kind, the number of its piece, the piece and the codes."""
+    code, n, every = golay(), len(fps), range(len(SEGMENTS))
     parts = [((fps >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
     one = [code.codeword(p) for p in parts]
     some = [code.codewords(p) for p in parts]
     keys, rows, sides = [], [], []
     for k, p in enumerate(parts):
-        keys.append(p | k << 40)
-        rows.append(np.arange(n))
-        sides.append(np.full(n, EXACT, np.int8))
-    for number, (i, j) in enumerate(itertools.combinations(range(len(parts)), 2), len(parts)):
+        for m, piece in enumerate(_pieces(fps, [x for x in every if x != k], DISTANCE + 1)):
+            keys.append(p | piece << 24 | (k << 4 | m) << 40)
+            rows.append(np.arange(n))
+            sides.append(np.full(n, EXACT, np.int8))
+    for number, (i, j) in enumerate(itertools.combinations(every, 2), len(parts)):
+        pieces = _pieces(fps, [x for x in every if x not in (i, j)], DISTANCE - 1)
         for side, first, second in ((LEFT, some[i], one[j][:, None]), (RIGHT, one[i][:, None], some[j])):
-            both = np.where((first >= 0) & (second >= 0), first << 12 | second | number << 40, -1)
+            both = np.where((first >= 0) & (second >= 0), first << 12 | second, -1)
             row, column = np.nonzero(both >= 0)
-            keys.append(both[row, column])
-            rows.append(row)
-            sides.append(np.full(len(row), side, np.int8))
+            codes = both[row, column]
+            for m, piece in enumerate(pieces):
+                keys.append(codes | piece[row] << 24 | (number << 4 | m) << 40)
+                rows.append(row)
+                sides.append(np.full(len(row), side, np.int8))
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(sides)
 
 
@@ -155,7 +173,10 @@ def near(a: str, b: str, distance: int = DISTANCE):
 def link(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> (fp, root): the component of every fingerprint that has a link, under the least signed value in it."""
     keyed = written(fps.mapInArrow(_keyed, "key long, fp long, side byte"), "simhash-keys")
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("top")).filter("rep <> top").select("key", "rep")
+    on = lambda side: F.when(F.col("side") != side, F.col("fp"))
+    ends = keyed.groupBy("key").agg(F.min(on(RIGHT)).alias("l"), F.max(on(RIGHT)).alias("ll"), F.min(on(LEFT)).alias("r"), F.max(on(LEFT)).alias("rr"))
+    # A key is of use where a left side and a right side come from two fingerprints.
+    shared = ends.filter("l is not null and r is not null and (l <> r or l <> ll or r <> rr)").select("key", F.least("l", "r").alias("rep"))
     buckets = written(keyed.join(shared, "key"), "simhash-buckets")  # keys that two fingerprints or more have
     forget(keyed)
     stars = buckets.filter(F.col("fp") != F.col("rep")).filter(near("fp", "rep")).select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
