@@ -12,9 +12,9 @@ With at most 4 errors over three segments, either a segment has none, or two seg
   the key longer. 54 keys on either side over the 3 pairs of segments.
 
 Keys only propose: each candidate pair is verified on all 64 bits. Only connectivity is asked for, so no bucket is
-expanded into all its pairs: bucket members are first tested against the bucket's least fingerprint, which joins a
-group of near copies with as many rows as it has members; after that only members outside the bucket's largest component
-are tested against the others. All of this is on distinct fingerprints; copies share theirs.
+expanded into all its pairs: the members of a bucket of exact keys are first tested against its least fingerprint, which
+joins a group of near copies with as many rows as it has members; after that buckets within one component are left out,
+and elsewhere only the members outside the bucket's largest component are tested against the others. All of this is on distinct fingerprints; copies share theirs.
 
 Edge cases: a null text, an empty text or one of white space alone has fingerprint zero and links like any other; under 4
 words, the whole sequence is the only shingle; a null doc_id ranks last as component_id, which is null only where all
@@ -133,19 +133,18 @@ def _pieces(fps: np.ndarray, segments: list[int], count: int) -> list[np.ndarray
     return out
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(fps: np.ndarray, exact_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, row, side) of all keys of fingerprints (uint64). A key holds its kind, the number of its piece, the piece and the codes."""
     code, n, every = golay(), len(fps), range(len(SEGMENTS))
     parts = [((fps >> np.uint64(a)) & np.uint64((1 << w) - 1)).astype(np.int64) for a, w in SEGMENTS]
-    one = [code.codeword(p) for p in parts]
-    some = [code.codewords(p) for p in parts]
     keys, rows, sides = [], [], []
+    one, some = ([], []) if exact_only else ([code.codeword(p) for p in parts], [code.codewords(p) for p in parts])
     for k, p in enumerate(parts):
         for m, piece in enumerate(_pieces(fps, [x for x in every if x != k], DISTANCE + 1)):
             keys.append(p | piece << 24 | (k << 4 | m) << 40)
             rows.append(np.arange(n))
             sides.append(np.full(n, EXACT, np.int8))
-    for number, (i, j) in enumerate(itertools.combinations(every, 2), len(parts)):
+    for number, (i, j) in enumerate(() if exact_only else itertools.combinations(every, 2), len(parts)):
         pieces = _pieces(fps, [x for x in every if x not in (i, j)], DISTANCE - 1)
         for side, first, second in ((LEFT, some[i], one[j][:, None]), (RIGHT, one[i][:, None], some[j])):
             both = np.where((first >= 0) & (second >= 0), first << 12 | second, -1)
@@ -158,12 +157,20 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(sides)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
+        if len(fps):
+            key, row, _ = keys_of(fps.view(np.uint64), exact_only=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], names=["key", "fp"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, roots = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if len(fps):
             key, row, side = keys_of(fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(side)], names=["key", "fp", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(roots[row]), pa.array(side)], names=["key", "fp", "root", "side"])
 
 
 def near(a: str, b: str, distance: int = DISTANCE):
@@ -171,30 +178,28 @@ def near(a: str, b: str, distance: int = DISTANCE):
 
 
 def link(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> (fp, root): the component of every fingerprint that has a link, under the least signed value in it."""
-    keyed = written(fps.mapInArrow(_keyed, "key long, fp long, side byte"), "simhash-keys")
-    on = lambda side: F.when(F.col("side") != side, F.col("fp"))
+    """Distinct fingerprints (fp) -> (fp, root): the component of every one of them, under the least signed value in it."""
+    exact = fps.mapInArrow(_exact, "key long, fp long")
+    reps = exact.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("top")).filter("rep <> top").select("key", "rep")
+    stars = exact.join(reps, "key").filter((F.col("fp") != F.col("rep")) & near("fp", "rep"))
+    first = written(components(stars.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()), "simhash-first")
+    labelled = written(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-labelled")
+    keyed = written(labelled.mapInArrow(_keyed, "key long, fp long, root long, side byte"), "simhash-keys")
+    on = lambda side: F.when(F.col("side") != side, F.col("root"))
     ends = keyed.groupBy("key").agg(F.min(on(RIGHT)).alias("l"), F.max(on(RIGHT)).alias("ll"), F.min(on(LEFT)).alias("r"), F.max(on(LEFT)).alias("rr"))
-    # A key is of use where a left side and a right side come from two fingerprints.
-    shared = ends.filter("l is not null and r is not null and (l <> r or l <> ll or r <> rr)").select("key", F.least("l", "r").alias("rep"))
-    buckets = written(keyed.join(shared, "key"), "simhash-buckets")  # keys that two fingerprints or more have
+    # A key is of use where a left side and a right side come from two components.
+    shared = ends.filter("l is not null and r is not null and (l <> r or l <> ll or r <> rr)").select("key")
+    open_ = written(keyed.join(shared, "key"), "simhash-open")
     forget(keyed)
-    stars = buckets.filter(F.col("fp") != F.col("rep")).filter(near("fp", "rep")).select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(components(stars), "simhash-first")
-    known = buckets.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "side", F.coalesce("root", "fp").alias("root"))
-    known = written(known, "simhash-known")
-    sizes = known.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
-    open_ = written(known.join(mixed, "key"), "simhash-open")
-    some = open_.filter("root <> main").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("side").alias("sa"))
+    sizes = open_.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    some = open_.join(main, "key").filter("root <> main").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("side").alias("sa"))
     others = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("side").alias("sb"))
     sides = ((F.col("sa") == EXACT) & (F.col("sb") == EXACT)) | (F.col("sa") + F.col("sb") == LEFT + RIGHT)
     cross = some.join(others, (some["key"] == others["key"]) & (F.col("ra") != F.col("rb")) & sides & near("a", "b"))
     second = components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     second = second.select(F.col("node").alias("root"), F.col("root").alias("last"))
-    # A fingerprint without a star may still be a root of its own in the second graph.
-    named = first.select(F.col("node").alias("fp"), "root").unionByName(second.join(first, second["root"] == first["node"], "left_anti").select(F.col("root").alias("fp"), "root"))
-    return named.join(second, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
+    return labelled.join(second, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -202,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hashed = written(fingerprints(docs), "simhash-fp")
     least = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = written(link(least.select("fp")), "simhash-roots")
-    joined = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = least.join(roots, "fp")
     groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(joined.join(groups, "root").select("fp", "component_id"), "simhash-groups")
     return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
