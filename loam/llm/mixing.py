@@ -106,6 +106,8 @@ def seeded(doc_id: Column, seed: int = SEED) -> Column:
 def select_documents(rows: DataFrame, goals: DataFrame, buckets: int = BUCKETS, levels: int = LEVELS) -> DataFrame:
     """rows (pattern, place, size, key) and goals (pattern, goal): the rows with `picked`, whole rows in order of place with sums near goal.
 
+    Tables of one row a pattern are broadcast: the caller holds the patterns on the driver, so their number bounds them.
+
     The seeded order is walked by sums of buckets, level by level; only what lies in the last bucket (one part in
     buckets ** levels of a pattern) is ordered row by row. No task sees an unbounded group, whatever the pattern's share.
     """
@@ -113,7 +115,7 @@ def select_documents(rows: DataFrame, goals: DataFrame, buckets: int = BUCKETS,
     state = goals.select("pattern", F.col("goal").alias("missing"), F.lit(0).cast("long").alias("low"))
     for _ in range(levels):
         width //= buckets
-        inside = rows.join(state, "pattern").filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + width * buckets))
+        inside = rows.join(F.broadcast(state), "pattern").filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + width * buckets))
         sums = inside.groupBy("pattern", "low", "missing", ((F.col("place") - F.col("low")) / width).cast("long").alias("step")).agg(F.sum("size").alias("size"))
         upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("step"))  # `buckets` rows a pattern at most
         sums = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("missing"))
@@ -122,12 +124,12 @@ def select_documents(rows: DataFrame, goals: DataFrame, buckets: int = BUCKETS,
         # A pattern of which everything is wanted never goes beyond its goal: its cut lies at the end.
         rest = goals.select("pattern").join(found, "pattern", "left_anti").select("pattern", F.lit(0).cast("long").alias("missing"), F.lit(1 << 60).cast("long").alias("low"))
         state = written(found.unionByName(rest), "mix-cut")
-    cell = rows.join(state, "pattern").filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + width))
+    cell = rows.join(F.broadcast(state), "pattern").filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + width))
     ordered = Window.partitionBy("pattern").orderBy("place", "key", "size")
     taken = cell.withColumn("upto", F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= F.col("missing"))
     last = taken.groupBy("pattern").agg(F.max(F.struct("place", "key", "size")).alias("last"), F.sum("size").alias("got"))
     cut = written(state.join(last, "pattern", "left").select("pattern", "low", "last", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("missing")), "mix-last")
-    marked = rows.join(cut, "pattern", "left")
+    marked = rows.join(F.broadcast(cut), "pattern", "left")
     picked = (F.col("place") < F.col("low")) | F.coalesce(F.struct("place", "key", "size") <= F.col("last"), F.lit(False)) & (F.col("place") < F.col("low") + width)
     marked = marked.select(*rows.columns, "missing", F.coalesce(picked, F.lit(False)).alias("picked"))
     # One more document a pattern: the one whose size is nearest to what is missing, if it brings the sum nearer.
@@ -136,7 +138,7 @@ def select_documents(rows: DataFrame, goals: DataFrame, buckets: int = BUCKETS,
     extra = spare.groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "place", "key", "size")).alias("x"))
     extra = extra.select("pattern", F.col("x.place").alias("x_place"), F.col("x.key").alias("x_key"), F.col("x.size").alias("x_size"))
     same = (F.col("place") == F.col("x_place")) & F.col("key").eqNullSafe(F.col("x_key")) & (F.col("size") == F.col("x_size"))
-    out = marked.join(extra, "pattern", "left")
+    out = marked.join(F.broadcast(extra), "pattern", "left")
     return out.select(*rows.columns, (F.col("picked") | F.coalesce(same, F.lit(False))).alias("picked"))
 
 
@@ -166,6 +168,6 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[int] = WEIGHTS, shar
         plan.append((p, sum(source_size[j] for j in own), float(sum(target[j] for j in own)), min(whole, passes), rest if whole < passes else 0))
     plan = spark.createDataFrame(plan, "pattern string, source_size long, target double, whole long, goal long").coalesce(1)
     chosen = select_documents(rows, plan.select("pattern", "goal"))
-    out = chosen.join(plan.drop("goal"), "pattern")
+    out = chosen.join(F.broadcast(plan.drop("goal")), "pattern")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("picked").cast("long")).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", "pattern", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
