@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: White space of the word, line and size contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch that a Python operator turns into objects at a time; Spark's own batches are larger.
+SLICE = 1024
 #: Text characters that one step of a Python operator holds at a time (a longer text is a step of its own).
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 _own_dir: dict[str, str] = {}
 
@@ -57,9 +59,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[list[tuple]]:
     """The rows of Arrow batches in lists whose texts (column number `text`) hold STEP_CHARS characters together at most."""
-    for batch in batches:
+    for batch in slices(batches):
         columns = [c.to_pylist() for c in batch.columns]
         step, held = [], 0
         for row in zip(*columns, strict=True):

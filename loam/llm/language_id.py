@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import held_out, rows_of
+from loam.llm.common import STEP_CHARS, held_out, rows_of, slices
 
 DOCS = 300  #: bound of the sample: labelled documents a language
 WINDOWS = 6  #: and windows of each of them
@@ -205,7 +205,7 @@ def reject_unknown(docs: DataFrame, least: float = 0.3, model: Model | None = No
     names, at = docs.columns, docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             keep = np.zeros(len(texts), bool)
             held: list[int] = []
@@ -214,7 +214,7 @@ def reject_unknown(docs: DataFrame, least: float = 0.3, model: Model | None = No
                 if text and m and LETTER.search(text):
                     held.append(k)
                     size += len(text)
-                if held and (size > 4_000_000 or k == len(texts)):
+                if held and (size > STEP_CHARS or k == len(texts)):
                     keep[held] = document_scores(m, [texts[i] for i in held]).max(axis=1) >= least
                     held, size = [], 0
             yield batch.filter(pa.array(keep)).select(names)

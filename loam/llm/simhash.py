@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import forget, rows_of, written
+from loam.llm.common import forget, rows_of, slices, written
 from loam.llm.components import components
 
 SHINGLE = 4
@@ -158,7 +158,7 @@ def keys_of(fps: np.ndarray, exact_only: bool = False) -> tuple[np.ndarray, np.n
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         fps = batch.column(0).to_numpy(zero_copy_only=False)
         if len(fps):
             key, row, _ = keys_of(fps.view(np.uint64), exact_only=True)
@@ -166,7 +166,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         fps, roots = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if len(fps):
             key, row, side = keys_of(fps.view(np.uint64))
