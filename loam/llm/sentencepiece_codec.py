@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loam.llm.common import rows_of
+from loam.llm.common import release, rows_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"  #: stands for a blank in pieces
@@ -217,9 +217,10 @@ class Encoder:
         self.cut = re.compile(model.cutter).findall
         self.pair_keys = np.full(HELD_PAIRS if model.kind == BPE else 1, -1, np.int64)
         self.pair_fits = np.zeros(len(self.pair_keys), bool)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all words."""
         self.words: dict[str, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -233,7 +234,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
         if len(self.words) > HELD_WORDS:
-            self._clear()
+            self.clear()
         cut = [self.cut(self.prepared(t)) for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         words = [w for own in cut for w in own]
@@ -377,6 +378,8 @@ def encode_texts(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for rows in rows_of(batches):
             ids, counts = encoder.encode([r[1] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(counts, pa.int64()), _lists(ids, counts)], names=["doc_id", "n_tokens", "token_ids"])
+        encoder.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, token_ids array<int>")
 
@@ -416,5 +419,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ],
                 names=["doc_id", "n_tokens", "token_ids", "decoded_sha256", "lossless"],
             )
+        encoder.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(work, ROUND_TRIP)
