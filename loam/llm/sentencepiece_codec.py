@@ -239,7 +239,7 @@ class Encoder:
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         words = [w for own in cut for w in own]
         known = self.words
-        news = list(dict.fromkeys(w for w in words if w not in known))
+        news = list(set(words).difference(known))
         if news:
             self._learn(news)
         number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
