@@ -61,6 +61,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SPACE = r"\x20\x09-\x0D"
 ORACLE_SQL: dict[str, str] = {
+    # Of sources one document each belongs to, the cheapest flow takes the target in whole passes and a rest. Capped sources
+    # are those with the least room a unit of weight: `level` is the unit that is left once the first k of them are capped.
+    "op5_mixing": f"""
+        WITH docs AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+')) AS BIGINT) AS size,
+                   CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
+        sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+            FROM docs GROUP BY source),
+        ordered AS (SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS k, sum(source_size) OVER () * 3 / 2 AS total FROM sources),
+        levels AS (
+            SELECT *, (total - coalesce(sum(2 * source_size) OVER before, 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM ordered WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        open AS (SELECT min(k) AS k, arg_min(level, k) AS unit FROM levels WHERE level * weight <= 2 * source_size),
+        targets AS (
+            SELECT l.source, source_size, CAST(CASE WHEN l.k < coalesce(o.k, 1e9) THEN 2 * source_size ELSE o.unit * weight END AS DOUBLE) AS target FROM levels l, open o),
+        flows AS (SELECT *, least(2 * source_size, CAST(round_even(target, 0) AS BIGINT)) AS flow FROM targets),
+        goals AS (
+            SELECT source, source_size, target, CASE WHEN source_size > 0 THEN flow // source_size ELSE 0 END AS whole, CASE WHEN source_size > 0 AND flow < 2 * source_size THEN flow % source_size ELSE 0 END AS goal FROM flows),
+        run AS (
+            SELECT d.*, g.source_size, g.target, g.whole, g.goal, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= g.goal AS picked
+            FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+        short AS (SELECT source, any_value(goal) - coalesce(sum(size) FILTER (picked), 0) AS missing FROM run GROUP BY source),
+        extra AS (
+            SELECT r.source, arg_min(r.doc_id, (abs(r.size - s.missing), r.place, r.doc_id)) AS doc_id FROM run r JOIN short s ON r.source IS NOT DISTINCT FROM s.source
+            WHERE NOT r.picked AND r.size > 0 AND abs(r.size - s.missing) < s.missing GROUP BY r.source)
+        SELECT r.doc_id, r.size, r.source_size, r.target, CAST(CASE WHEN r.size > 0 THEN r.size * (r.whole + CAST(r.picked OR e.doc_id IS NOT NULL AS BIGINT)) ELSE 0 END AS BIGINT) AS taken
+        FROM run r LEFT JOIN extra e ON e.source IS NOT DISTINCT FROM r.source AND e.doc_id = r.doc_id""",
     "op6_topk": """
         WITH whole AS (
             SELECT CAST(vec_id AS BIGINT) AS vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
