@@ -154,8 +154,22 @@ def session_dir_name(cwd: Column) -> Column:
     return F.concat(F.lit("--"), F.regexp_replace(F.regexp_replace(cwd, r"^[/\\]", ""), r"[/\\:]", "-"), F.lit("--"))
 
 
-def json_object(x: Column) -> Column:
-    """The JSON object of a model's answer, with or without one code fence; null where it is none."""
-    inner = F.regexp_extract(trim_space(x), r"(?s)^```(?:json)?\s*\n?(.*?)\n?```$", 1)
+def safe_name(source: Column, most: int = 32) -> Column:
+    """A name for folders, from the last part of a path or remote."""
+    base = F.regexp_replace(F.regexp_extract(F.regexp_replace(source, r"/+$", ""), r"([^/]*)$", 1), r"(?i)\.git$", "")
+    clean = F.left(F.regexp_replace(F.regexp_replace(base, r"[^a-zA-Z0-9._-]+", "-"), r"^-+|-+$", ""), F.lit(most))
+    return F.when(clean != "", clean).otherwise("workspace")
+
+
+def workspace_id(remote: Column, common_dir: Column, cwd: Column) -> Column:
+    """A workspace's id, from its remote where that has a canonical form, else its common git folder, else its folder."""
+    source = F.coalesce(canonical_remote(remote), common_dir, cwd)
+    return F.concat(content_hash(source, 12), F.lit("_"), safe_name(source))
+
+
+def json_object(x: Column, anywhere: bool = False) -> Column:
+    """The JSON object of a model's answer, with or without one code fence (`anywhere`: text around the fence goes); null where it is none."""
+    fence = r"(?is)```(?:json)?\s*(.*?)```" if anywhere else r"(?s)^```(?:json)?\s*\n?(.*?)\n?```$"
+    inner = F.regexp_extract(trim_space(x), fence, 1)
     parsed = F.try_parse_json(F.when(inner != "", inner).otherwise(trim_space(x)))
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)

@@ -42,6 +42,24 @@ def claimable(runs: DataFrame, now_ms, stale_ms: int = LIMITS.stale_ms, keys: tu
     return runs.groupBy(*keys).agg((F.count(F.when(live, 1)) == 0).alias("may_claim"), F.count(F.when(open_ & ~live, 1)).alias("stale_runs"))
 
 
+def acquire(runs: DataFrame, claims: DataFrame, now_ms: int, stale_ms: int = LIMITS.stale_ms, keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """The run table after claims (keys, run_id): one claim a workspace, the least, is granted where no run is live; it fails the stale ones."""
+    open_ = F.col("status").isin("claimed", "running")
+    live = runs.filter(open_ & F.coalesce(F.lit(now_ms) - F.col("started_ms") < stale_ms, F.lit(False))).select(*keys).distinct()
+    granted = claims.groupBy(*keys).agg(F.min("run_id").alias("run_id")).join(live, [*keys], "left_anti")
+    marked = runs.join(granted.select(*keys, F.lit(True).alias("__granted")), [*keys], "left")
+    fails = F.coalesce("__granted", F.lit(False)) & open_
+    marked = marked.withColumns({"status": F.when(fails, "failed").otherwise(F.col("status")), "finished_ms": F.when(fails, F.lit(now_ms)).otherwise(F.col("finished_ms"))})
+    new = granted.withColumns({"status": F.lit("claimed"), "started_ms": F.lit(now_ms).cast("long"), "finished_ms": F.lit(None).cast("long"), "reported": F.lit(False)})
+    return marked.select(*runs.columns).unionByName(new, allowMissingColumns=True)
+
+
+def start(runs: DataFrame, run_id: str) -> DataFrame:
+    """The run table with a claimed run running; a run in any other state stays as it is."""
+    mine = (F.col("run_id") == run_id) & (F.col("status") == "claimed")
+    return runs.withColumn("status", F.when(mine, "running").otherwise(F.col("status")))
+
+
 def active_run(runs: DataFrame, now_ms, stale_ms: int = LIMITS.stale_ms, keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
     """A workspace's latest open run that is not beyond the stale limit (at the limit it still counts, unlike in a claim)."""
     open_ = runs.filter(F.col("status").isin("claimed", "running") & ~(F.lit(now_ms) - F.col("started_ms") > stale_ms))
@@ -54,6 +72,12 @@ def unreported(runs: DataFrame, keys: tuple[str, ...] = ("workspace_id",)) -> Da
     return runs.filter(F.col("status").isin("completed", "failed") & ~F.col("reported")).withColumn("place", F.row_number().over(w))
 
 
+def report_next(runs: DataFrame, keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """The run table with each workspace's next run to report marked as reported."""
+    next_ = unreported(runs, keys).filter("place = 1").select("run_id", F.lit(True).alias("__next"))
+    return runs.join(next_, "run_id", "left").withColumn("reported", F.col("reported") | F.coalesce("__next", F.lit(False))).select(*runs.columns)
+
+
 def finish(runs: DataFrame, run_id: str, status: str, now_ms: int) -> DataFrame:
     """The run table with an open run ended; ended runs stay as they are."""
     mine = (F.col("run_id") == run_id) & F.col("status").isin("claimed", "running")

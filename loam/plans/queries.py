@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.operators import audit, budgets, control, lexical, retrieval, store, vectors
+from loam.operators import audit, budgets, control, lexical, mining, retrieval, store, synthesis, vectors
 from loam.streaming.ingest import windowed_counts
 
 # Searches, answered by every query key that ranks: (query_id, text).
@@ -400,6 +400,22 @@ def active_runs(spark, d):
     return control.active_run(_runs(spark, d), _now(spark, d), 86_400_000)
 
 
+# Each workspace asks for two runs, of which one is granted at most.
+@query(f"""WITH {_RUNS}, t AS (SELECT max(epoch_ms(ts)) AS now FROM events), w AS (SELECT workspace_id, count(*) FILTER (status IN ('claimed', 'running') AND now - started_ms < 86400000) = 0 AS granted FROM r, t GROUP BY workspace_id)
+    SELECT workspace_id, run_id, CASE WHEN granted AND status IN ('claimed', 'running') THEN 'failed' ELSE status END AS status, true AS ended FROM r JOIN w USING (workspace_id)
+    UNION ALL SELECT workspace_id, -workspace_id - 1, 'claimed', false FROM w WHERE granted""")
+def acquire_claims(spark, d):
+    runs = _runs(spark, d)
+    claims = runs.select("workspace_id", F.explode(F.array(-F.col("workspace_id"), -F.col("workspace_id") - 1)).alias("run_id"))
+    return control.acquire(runs, claims, _now(spark, d), 86_400_000).select("workspace_id", "run_id", "status", F.col("finished_ms").isNotNull().alias("ended"))
+
+
+@query(f"""WITH {_RUNS}, n AS (SELECT workspace_id, arg_min(run_id, (finished_ms, run_id)) AS run_id FROM r WHERE status IN ('completed', 'failed') AND NOT reported GROUP BY workspace_id)
+    SELECT r.run_id, r.reported OR n.run_id IS NOT NULL AS reported FROM r LEFT JOIN n ON n.run_id = r.run_id""")
+def report_next(spark, d):
+    return control.report_next(_runs(spark, d)).select("run_id", "reported")
+
+
 @query(f"WITH {_RUNS} SELECT workspace_id, run_id, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY finished_ms, run_id) AS INTEGER) AS place FROM r WHERE status IN ('completed', 'failed') AND NOT reported")
 def unreported_runs(spark, d):
     return control.unreported(_runs(spark, d)).select("workspace_id", "run_id", "place")
@@ -445,6 +461,36 @@ def windowed_events(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+# Customers stand for workspaces: some with a remote in one of its three forms, some with a git folder or none.
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS form, c_name AS name FROM customer),
+    s AS (SELECT k, name, CASE WHEN form < 3 THEN 'example.com/org ' || k % 7 || '/' || lower(name) WHEN form = 3 THEN '/repos/' || name || '.git' ELSE '/home/' || name || '/' END AS source FROM c),
+    b AS (SELECT k, source, regexp_replace(regexp_replace(regexp_extract(regexp_replace(source, '/+$', ''), '([^/]*)$', 1), '(?i)\\.git$', ''), '[^a-zA-Z0-9._-]+', '-', 'g') AS base FROM s)
+    SELECT k AS c_custkey, substr(sha256(source), 1, 12) || '_' || left(regexp_replace(base, '^-+|-+$', '', 'g'), 32) AS workspace FROM b""")
+def workspace_ids(spark, d):
+    c = _table(spark, d, "customer").withColumn("form", F.col("c_custkey") % 5)
+    path = F.concat(F.lit("Org "), (F.col("c_custkey") % 7).cast("string"), F.lit("/"), F.col("c_name"))
+    forms = (F.concat(F.lit("git@Example.com:"), path, F.lit(".git")), F.concat(F.lit("https://EXAMPLE.com/"), path, F.lit("/")), F.concat(F.lit("ssh://git@example.com/"), path))
+    remote = F.when(F.col("form") == 0, forms[0]).when(F.col("form") == 1, forms[1]).when(F.col("form") == 2, forms[2]).when(F.col("form") == 3, "/not a remote")
+    common = F.when(F.col("form") == 3, F.concat(F.lit("/repos/"), F.col("c_name"), F.lit(".git")))
+    return c.select("c_custkey", T.workspace_id(remote, common, F.concat(F.lit("/home/"), F.col("c_name"), F.lit("/"))).alias("workspace"))
+
+
+@query("""SELECT doc_id, CASE WHEN greatest(1, ceil(length(text) / 4)) + greatest(1, ceil(length(source) / 4)) + 8000 > 8050 + doc_id % 300 THEN 'context window too small' WHEN doc_id % 9 = 0 THEN 'output limit too small' END AS error FROM documents""")
+def synthesis_capacity(spark, d):
+    window, most = F.lit(8050) + F.col("doc_id") % 300, F.when(F.col("doc_id") % 9 == 0, 5999)
+    return _table(spark, d, "documents").select("doc_id", mining.capacity(F.col("text"), F.col("source"), window, most).alias("error"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, coalesce(max(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) FILTER (turn = 0), '') AS answer, coalesce(string_agg('- M:' || turn || ' (preference): ' || text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS preferences FROM conversations GROUP BY conv_id)
+    SELECT conv_id, sha256(concat_ws(chr(10) || chr(10), CASE WHEN answer <> '' THEN {_sql_text(synthesis.CONTEXT_HEADING)} || chr(10) || chr(10) || answer END,
+        CASE WHEN preferences <> '' THEN {_sql_text(synthesis.PREFERENCES_HEADING)} || chr(10) || chr(10) || regexp_replace(preferences, '\\s+$', '') END, {_sql_text(synthesis.SEARCH_HINT)})) AS message_hash FROM t""")
+def briefing_message(spark, d):
+    line = F.when(F.col("role") == "user", F.struct("turn", T.preference_line(F.col("turn"), F.col("text")).alias("line")))
+    rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("answer"), F.array_sort(F.collect_list(line)).alias("lines"))
+    preferences = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return rows.select("conv_id", F.sha2(synthesis.briefing_message(preferences, F.col("answer")), 256).alias("message_hash"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid retrieval of all searches, and what fits the payload."""
     return payload_prefix(spark, d)

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,9 @@ def test_rendering(spark):
     assert one(spark, line, "retired", "x") == "- M:7 (preference, retired, r=3): x"
     assert one(spark, T.session_dir_name, "/home/a/b:c") == "--home-a-b-c--"
     assert one(spark, T.json_object, '```json\n{"a": 1}\n```') is not None and one(spark, T.json_object, "[1]") is None
+
+
+@pytest.mark.parametrize(("remote", "common", "cwd", "source", "name"), [("git@GitHub.com:Org/My Repo.git", "/x", "/y", "github.com/org/my repo", "my-repo"), ("nonsense", "/a/b.git/", "/y", "/a/b.git/", "b"), (None, None, "/", "/", "workspace"), (None, None, "/a/--" + "é" * 3 + "x" * 40, None, "x" * 32)])
+def test_workspace_ids(spark, remote, common, cwd, source, name):
+    got = one(spark, T.workspace_id, remote, common, cwd)
+    assert got == hashlib.sha256((source or cwd).encode()).hexdigest()[:12] + "_" + name
