@@ -257,66 +257,86 @@ class Encoder:
         for n, same in by.items():
             for a in range(0, len(same), step := max(1, TOGETHER // n)):
                 part = same[a : a + step]
-                for ids, w in zip(self.viterbi(part), part, strict=True):
-                    self.words[w] = base
-                    base += 1
-                    sizes.append(len(ids))
-                    flats.append(ids)
+                self.words.update(zip(part, range(base, base + len(part)), strict=True))
+                base += len(part)
+                ids, counts = self.paths(part)
+                flats.append(ids)
+                sizes.append(counts)
+        sizes = np.concatenate(sizes)
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, *flats]).astype(np.int32)
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words of one length one after the other, number of ids of each). Tables have a row a place, a column a word."""
         m, n, b = self.m, len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(b, n)
-        hashes = np.zeros((b, n + 1), np.uint64)
+        places = np.ascontiguousarray(codes.T)
+        hashes = np.zeros((n + 1, b), np.uint64)
         for k in range(n):
-            hashes[:, k + 1] = hashes[:, k] * BASE + codes[:, k].astype(np.uint64) + np.uint64(1)
+            hashes[k + 1] = hashes[k] * BASE + places[k].astype(np.uint64) + np.uint64(1)
         powers = np.full(m.longest + 1, BASE, np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
-        score = np.full((b, n + 1), -np.inf)
-        score[:, 0] = 0
-        last = np.full((b, n + 1), -1, np.int64)  # the piece that ends here; -1: a character without one, or the start
-        back = np.zeros((b, n + 1), np.int32)
+        score = np.full((n + 1, b), -np.inf)
+        score[0] = 0
+        reachable = np.zeros((n + 1, b), bool)
+        reachable[0] = True
+        last = np.full((n + 1, b), -1, np.int64)  # the piece that ends here; -1: a character without one, or the start
+        back = np.zeros((n + 1, b), np.int32)
         lost = float(m.scores.min(initial=0)) - 10  # what a character without a piece costs
         for end in range(1, n + 1):
             for size in range(1, min(end, m.longest) + 1):
                 start = end - size
-                key = hashes[:, end] - hashes[:, start] * powers[size]
-                rows = np.flatnonzero(m.filter_[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (score[:, start] > -np.inf))
+                key = hashes[end] - hashes[start] * powers[size]
+                rows = np.flatnonzero(m.filter_[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & reachable[start])
                 if len(rows):
-                    at = np.minimum(np.searchsorted(m.keys, key[rows]), len(m.keys) - 1)
+                    own = key[rows]
+                    at = np.minimum(np.searchsorted(m.keys, own), len(m.keys) - 1)
                     ids = m.ids[at]
-                    fits = (m.keys[at] == key[rows]) & (m.lengths[ids] == size) & (m.codes[ids, :size] == codes[rows, start:end]).all(axis=1)
+                    fits = (m.keys[at] == own) & (m.lengths[ids] == size)
+                    rows, ids = rows[fits], ids[fits]
+                    fits = (m.codes[ids, :size] == codes[rows, start:end]).all(axis=1)
                     rows, ids = rows[fits], ids[fits]
                 if size == 1:
-                    none = np.ones(b, bool)
-                    none[rows] = False
-                    alone = np.flatnonzero(none & (score[:, start] > -np.inf))
-                    score[alone, end], back[alone, end] = score[alone, start] + lost, 1
+                    alone = reachable[start].copy()
+                    alone[rows] = False
+                    alone = np.flatnonzero(alone)
+                    score[end, alone], back[end, alone], reachable[end, alone] = score[start, alone] + lost, 1, True
                 if len(rows):
-                    before = last[rows, start]
+                    before = last[start, rows]
                     if m.kind == BPE:
                         fits = self._fit(before, ids)
                         rows, ids, gain = rows[fits], ids[fits], 0.0
                     else:
                         gain = m.scores[ids]
-                    reached = score[rows, start] + gain
-                    better = reached > score[rows, end]
+                    reached = score[start, rows] + gain
+                    better = reached > score[end, rows]
                     rows, ids = rows[better], ids[better]
-                    score[rows, end], last[rows, end], back[rows, end] = reached[better], ids, size
-        out = []
-        for w, own, steps in zip(words, last.tolist(), back.tolist(), strict=True):
-            ids, end = [], n
-            while end:
-                size = steps[end]
-                ids.append(own[end] if own[end] >= 0 else -ord(w[end - 1]) - 1)
-                end -= size
-            ids.reverse()
-            out.append([y for x in ids for y in ((x,) if x >= 0 else self._bytes(chr(-x - 1)))])
-        return out
+                    score[end, rows], last[end, rows], back[end, rows], reachable[end, rows] = reached[better], ids, size, True
+        return self._followed(codes, last, back)
+
+    def _followed(self, codes: np.ndarray, last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The paths that the backpointers name, all words a step at a time."""
+        b, n = codes.shape
+        ends = np.zeros((b, n), bool)  # a piece ends with this character
+        rows, at = np.arange(b), np.full(b, n)
+        while len(rows):
+            ends[rows, at - 1] = True
+            at = at - back[at, rows]
+            on = at > 0
+            rows, at = rows[on], at[on]
+        ids, counts = last[1:].T[ends], ends.sum(axis=1)
+        bare = ids < 0  # characters without a piece are spelled out
+        if bare.any():
+            spelled = [self._bytes(chr(c)) for c in codes[ends][bare].tolist()]
+            width = np.ones(len(ids), np.int64)
+            width[bare] = [len(x) for x in spelled]
+            counts = np.add.reduceat(width, np.cumsum(counts) - counts)
+            filled = np.repeat(bare, width)
+            ids = np.repeat(ids, width)
+            ids[filled] = [y for x in spelled for y in x]
+        return ids, counts
 
     def _bytes(self, c: str) -> list[int]:
         return [self.m.bytes_[x] for x in c.encode()] if self.m.bytes_ else [self.m.unknown]
