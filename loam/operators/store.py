@@ -44,21 +44,51 @@ class Memory:
 
 @dataclass
 class Workspace:
-    """State of one workspace while its log is folded."""
+    """State of one workspace while its log is folded. Active memories are found by text in an index, and a commit that fails
+    is taken back from a journal, so a commit costs what it changes, whatever the size of the store."""
 
     memories: dict[int, Memory] = field(default_factory=dict)
     versions: list[dict] = field(default_factory=list)
     checkpoints: dict[str, dict] = field(default_factory=dict)
+    by_text: dict[str, int] = field(default_factory=dict)  #: normalised texts of the active memories
+    journal: list[tuple] = field(default_factory=list)
 
     def _active(self, text: str) -> Memory | None:
-        want = normalised(text)
-        return next((m for m in self.memories.values() if m.state == "active" and normalised(m.text) == want), None)
+        return self.memories.get(self.by_text.get(normalised(text), 0))
+
+    def _set(self, m: Memory, **values) -> None:
+        """Change a memory, its place in the index with it."""
+        if m.state == "active":
+            self.by_text.pop(normalised(m.text), None)
+        for name, value in values.items():
+            setattr(m, name, value)
+        if m.state == "active":
+            self.by_text[normalised(m.text)] = m.id
+
+    def _change(self, m: Memory, session: str | None, seen: bool, **values) -> None:
+        """As _set, noted in the journal. seen: the session is one more that states the memory."""
+        added = seen and session not in m.sessions
+        self.journal.append((m, {name: getattr(m, name) for name in values}, session, added))
+        self._set(m, **values)
+        if added:
+            m.sessions.add(session)
+
+    def _undo(self, versions: int) -> None:
+        while self.journal:
+            m, values, session, added = self.journal.pop()
+            if values.get("current") == 0:  # its first version: it was made in this commit
+                self._set(m, state="retired")
+                del self.memories[m.id]
+                continue
+            self._set(m, **values)
+            if added:
+                m.sessions.discard(session)
+        del self.versions[versions:]
 
     def _version(self, m: Memory, text: str, evidence: str | None, session: str | None, generation: int) -> None:
         version = {"version_id": len(self.versions) + 1, "memory_id": m.id, "text": text, "evidence": evidence, "session_id": session, "generation": generation, "previous_version_id": m.current or None}
         self.versions.append(version)
-        m.current, m.text = version["version_id"], text
-        m.sessions.add(session)
+        self._change(m, session, True, current=version["version_id"], text=text)
 
     def _target(self, op: dict) -> Memory:
         m = self.memories.get(op["memory_id"])
@@ -75,9 +105,9 @@ class Workspace:
             if same is not None:  # a restatement: text and kind stay
                 self._version(same, same.text, op.get("evidence_text"), session, generation)
             else:
-                m = Memory(max(self.memories, default=0) + 1, op["kind"], op["memory_text"])
+                m = Memory(len(self.memories) + 1, op["kind"], op["memory_text"].strip())
                 self.memories[m.id] = m
-                self._version(m, op["memory_text"].strip(), op.get("evidence_text"), session, generation)
+                self._version(m, m.text, op.get("evidence_text"), session, generation)
         elif what == "update":
             m = self._target(op)
             text = op.get("memory_text") or m.text
@@ -86,8 +116,7 @@ class Workspace:
                 raise CommitError(f"memory {other.id} already says so")
             self._version(m, text.strip(), op.get("evidence_text"), session, generation)
         elif what == "forget":
-            m = self._target(op)
-            m.state, m.retired_session, m.retired_evidence = "retired", session, op.get("evidence_text")
+            self._change(self._target(op), session, False, state="retired", retired_session=session, retired_evidence=op.get("evidence_text"))
         else:
             raise CommitError(f"unknown operation {what}")
 
@@ -101,14 +130,13 @@ class Workspace:
             return False
         if old is not None and old["content_hash"] is None and digest is None and entry["mtime_ms"] <= old["mtime_ms"]:
             return False
-        before = json.dumps([(m.id, m.kind, m.text, m.state, m.current, sorted(map(str, m.sessions))) for m in self.memories.values()]), len(self.versions)
-        kept = {k: Memory(m.id, m.kind, m.text, m.state, m.current, set(m.sessions), m.retired_session, m.retired_evidence) for k, m in self.memories.items()}
+        before = len(self.versions)
+        self.journal.clear()
         try:
             for op in entry["operations"]:
                 self.apply(op, session, entry.get("generation", 0))
         except CommitError:
-            self.memories = kept
-            del self.versions[before[1] :]
+            self._undo(before)
             raise
         self.checkpoints[session] = mark
         return True
@@ -118,7 +146,7 @@ class Workspace:
         m = self.memories.get(memory_id)
         if m is None:
             return False
-        m.state, m.retired_session, m.retired_evidence = "retired", None, None
+        self._set(m, state="retired", retired_session=None, retired_evidence=None)
         return True
 
 
@@ -126,26 +154,49 @@ LOG = "workspace_id string, commit_seq long, op_seq int, session_id string, cont
 MEMORIES = "workspace_id string, memory_id long, kind string, state string, text string, normalized_text string, current_version_id long, recurrence long"
 
 
-def fold(log: DataFrame) -> DataFrame:
-    """The log of operations (LOG) -> memories. A commit that fails is left out whole; workspaces are folded side by side."""
+VERSIONS = "workspace_id string, version_id long, memory_id long, previous_version_id long, session_id string, generation long, text string, evidence_text string"
+REJECTED = "workspace_id string, commit_seq long, error string"
+BY_HAND = "forget_by_hand"  #: an operation of the log that retires a memory without a session
+
+
+def _folded(log: DataFrame, rows_of, schema: str) -> DataFrame:
+    """rows_of(workspace id, Workspace, rejected commits) of every workspace's folded log; workspaces are folded side by side."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        w = Workspace()
+        w, rejected = Workspace(), []
         rows = rows.sort_values(["commit_seq", "op_seq"])
-        for _, own in rows.groupby("commit_seq", sort=True):
+        for seq, own in rows.groupby("commit_seq", sort=True):
             first = own.iloc[0]
             null = lambda v: None if pd.isna(v) else v
+            if first.op == BY_HAND:
+                w.forget(int(first.memory_id))
+                continue
             entry = {"session_id": first.session_id, "content_hash": null(first.content_hash), "mtime_ms": int(first.mtime_ms), "offset": null(first.offset), "total": null(first.total), "generation": int(first.generation)}
             entry["operations"] = [{"op": r.op, "kind": null(r.kind), "memory_id": null(r.memory_id), "memory_text": null(r.memory_text), "evidence_text": null(r.evidence_text)} for r in own.itertuples()]
             try:
                 w.commit(entry)
-            except CommitError:
-                continue
-        ws = rows.workspace_id.iloc[0]
-        out = [(ws, m.id, m.kind, m.state, m.text, normalised(m.text), m.current, len(m.sessions)) for m in w.memories.values()]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MEMORIES.split(", ")])
+            except CommitError as e:
+                rejected.append((int(seq), str(e)))
+        out = pd.DataFrame(rows_of(rows.workspace_id.iloc[0], w, rejected), columns=names)
+        return out.astype({"previous_version_id": "Int64"}) if "previous_version_id" in names else out
+
+    return log.groupBy("workspace_id").applyInPandas(one, schema)
+
+
+def fold(log: DataFrame) -> DataFrame:
+    """The log of operations (LOG) -> memories. A commit that fails is left out whole."""
+    return _folded(log, lambda ws, w, _: [(ws, m.id, m.kind, m.state, m.text, normalised(m.text), m.current, len(m.sessions)) for m in w.memories.values()], MEMORIES)
+
+
+def fold_versions(log: DataFrame) -> DataFrame:
+    """The log of operations -> the versions of all memories, each with the one before it."""
+    return _folded(log, lambda ws, w, _: [(ws, v["version_id"], v["memory_id"], v["previous_version_id"], v["session_id"], v["generation"], v["text"], v["evidence"]) for v in w.versions], VERSIONS)
+
 
-    return log.groupBy("workspace_id").applyInPandas(one, MEMORIES)
+def rejected(log: DataFrame) -> DataFrame:
+    """The commits of the log that fail, and why."""
+    return _folded(log, lambda ws, _, bad: [(ws, seq, error) for seq, error in bad], REJECTED)
 
 
 def dedupe_creates(versions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
