@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.session import LIMITS
@@ -91,3 +91,43 @@ def cadence(state: DataFrame, now_ms, min_turns: int = LIMITS.min_turns, min_min
     enough = lambda c: F.coalesce(c >= min_minutes, F.lit(True))
     turns = F.col("turns") + 1
     return state.withColumns({"turns": turns, "minutes": since, "failure_minutes": failed, "due": F.col("enabled") & (turns >= min_turns) & enough(since) & enough(failed) & F.col("has_due")})
+
+
+STATE = "workspace_id string, turns long, generation long, last_success_ms long, last_failure_ms long, newest_mtime_ms long, recall_error string, embedding_error string"
+RUNS = "workspace_id string, run_id string, status string, started_ms long, finished_ms long, reported boolean, error string"
+
+
+def new_state(spark: SparkSession, workspace_id: str) -> DataFrame:
+    """The state row of a workspace that has seen nothing yet."""
+    return spark.createDataFrame([(workspace_id, 0, 0, 0, 0, None, None, None)], STATE).coalesce(1)
+
+
+def settled(state: DataFrame) -> DataFrame:
+    """One more turn settled, and the next generation of activity."""
+    return state.withColumns({"turns": F.col("turns") + 1, "generation": F.col("generation") + 1})
+
+
+def patched(state: DataFrame, **values) -> DataFrame:
+    """The state with some of its columns set; a column that a state has not is an error."""
+    if unknown := sorted(values.keys() - set(state.columns)):
+        raise ValueError(f"no such state: {', '.join(unknown)}")
+    kinds = dict(state.dtypes)
+    return state.withColumns({name: F.lit(v).cast(kinds[name]) for name, v in values.items()})
+
+
+def succeeded(state: DataFrame, now_ms: int, newest_mtime_ms=None) -> DataFrame:
+    """After a complete run: turns count anew, and the newest time that was seen never goes back."""
+    newest = F.greatest(F.col("newest_mtime_ms"), F.lit(newest_mtime_ms).cast("long"))  # skips nulls
+    return patched(state, turns=0, last_success_ms=now_ms).withColumn("newest_mtime_ms", newest)
+
+
+def failed(state: DataFrame, now_ms: int) -> DataFrame:
+    """After a failed run: the turns stay, the back-off starts."""
+    return patched(state, last_failure_ms=now_ms)
+
+
+def diagnostics(state: DataFrame, runs: DataFrame, keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """What a workspace should be told at its start: what is degraded, and how many runs wait to be reported."""
+    waiting = runs.filter(F.col("status").isin("completed", "failed") & ~F.col("reported")).groupBy(*keys).agg(F.count("*").alias("unreported"), F.count(F.when(F.col("status") == "failed", 1)).alias("unreported_failures"))
+    out = state.join(waiting, [*keys], "left").fillna(0, ["unreported", "unreported_failures"])
+    return out.select(*keys, F.col("recall_error").isNotNull().alias("recall_degraded"), F.col("embedding_error").isNotNull().alias("embedding_degraded"), "recall_error", "embedding_error", "unreported", "unreported_failures")
