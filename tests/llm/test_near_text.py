@@ -73,3 +73,15 @@ def test_empty_and_odd_tables(odd_docs, no_docs):
     assert len(got) == odd_docs.count()
     assert {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}
     assert near_text.near_duplicates(no_docs).count() == 0
+
+
+def test_maps_rule_out_no_similar_pair():
+    sets = [near_text.shingles(t) for _, t in made(5)]
+    ruled_out = 0
+    for a in sets:
+        for b in sets:
+            if len(a) and len(b):
+                fit = near_text.possible(len(a), near_text.bit_map(a), len(b), near_text.bit_map(b))
+                assert fit or not near_text.similar(a, b)
+                ruled_out += not fit
+    assert ruled_out > 1000
