@@ -142,14 +142,19 @@ def select_documents(rows: DataFrame, goals: DataFrame, buckets: int = BUCKETS,
     return out.select(*rows.columns, (F.col("picked") | F.coalesce(same, F.lit(False))).alias("picked"))
 
 
+def pattern_of(sources: Column) -> Column:
+    """The set of sources as text."""
+    pattern = F.array_sort(F.array_distinct(sources))
+    return F.to_json(F.struct(F.coalesce(pattern, F.array().cast("array<string>")).alias("s")), {"ignoreNullFields": "false"})
+
+
 def mix(docs: DataFrame, sources: Column, weights: Sequence[int] = WEIGHTS, share: tuple[int, int] = SHARE, passes: int = PASSES, seed: int = SEED) -> DataFrame:
     """docs with a column `sources` (array of strings, a null entry is a source): doc_id, pattern, size, source_size, target, taken.
 
     source_size and target are sums over the document's sources. The driver holds one row a pattern.
     """
     spark = docs.sparkSession
-    pattern = F.array_sort(F.array_distinct(sources))
-    rows = docs.select("doc_id", F.to_json(F.struct(F.coalesce(pattern, F.array().cast("array<string>")).alias("s")), {"ignoreNullFields": "false"}).alias("pattern"), F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("place"))
+    rows = docs.select("doc_id", pattern_of(sources).alias("pattern"), F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size"), seeded(F.col("doc_id"), seed).alias("place"))
     rows = written(rows, "mix-sizes")
     sums = rows.groupBy("pattern").agg(F.sum("size").alias("size")).collect()  # one row a pattern of sources
     shape = T.StructType([T.StructField("s", T.ArrayType(T.StringType()))])

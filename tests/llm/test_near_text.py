@@ -68,6 +68,18 @@ def test_stage_drops_a_copy_that_differs_in_many_bits(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.no_near_duplicates(spark, docs, "").collect()) == [0, len(items) - 1]
 
 
+def test_rows_with_null_or_repeated_ids_go_only_as_copies(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(20 + k))
+    items = [(None, text(1), "a"), (None, text(2), "a"), (None, text(2), "b"), (7, text(3), "a"), (7, text(4), "b"), (7, text(3), "b"), (None, text(3), "a"), (8, text(4), "a")]
+    docs = spark.createDataFrame(items, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in corpus_pipeline.no_near_duplicates(spark, docs.repartition(3), "").collect()]
+    want = [(None, text(1), "a"), (None, text(2), "a"), (7, text(3), "a"), (7, text(4), "b")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    # The mix takes each of these rows for itself: never more than twice.
+    mixed = [tuple(r) for r in corpus_pipeline.target_mix(spark, spark.createDataFrame(kept, docs.schema), "").collect()]
+    assert mixed and set(mixed) <= set(want) and max(map(mixed.count, mixed)) <= 2
+
+
 def test_empty_and_odd_tables(odd_docs, no_docs):
     got = near_text.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
