@@ -8,7 +8,8 @@ is dropped, so no ancestor and descendant contradict each other.
 
 The model is trained here, on pages that `example_page` makes up with their article marked.
 
-Edge cases: null or empty html gives the empty text; text without any tag is one block; unclosed and stray tags, cut-off
+Edge cases: null or empty html gives the empty text; text without any tag is one block; a fragment without html and
+body keeps the text right at its root with the inline elements in it; unclosed and stray tags, cut-off
 pages and raw elements without an end are read as browsers do, in the main; repeated rows get a row each; an empty table
 gives no rows; other columns are not read.
 """
@@ -43,6 +44,7 @@ NEVER = RAW | set("head select button svg math canvas object audio video datalis
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _attribute = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _words = re.compile(r"[a-z]+")
+_word = re.compile(r"\w")
 
 
 @dataclass(slots=True)
@@ -214,6 +216,15 @@ def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
     return stays
 
 
+def root_flow(nodes: list[Node]) -> np.ndarray:
+    """Of a fragment (no html, no body) with words right at its root: the root, and the inline elements in its text. Nothing of other pages."""
+    flow = np.zeros(len(nodes), bool)
+    flow[0] = any(_word.search(html.unescape(run)) for _, run in nodes[0].runs) and not any(node.tag in ("html", "body") for node in nodes)
+    for k in range(1, len(nodes)):
+        flow[k] = flow[nodes[k].parent] and nodes[k].tag in INLINE
+    return flow
+
+
 def blocks_of(nodes: list[Node], wanted: np.ndarray) -> list[str]:
     """Text blocks of the wanted elements in page order: a block ends where a block element starts or ends."""
     out: list[str] = []
@@ -255,8 +266,10 @@ class Extractor:
             if len(nodes) == 1:  # no element at all: plain text
                 out.append("\n".join(blocks_of(nodes, np.ones(1, bool))))
             else:
-                stays = decode(nodes, own)
-                stays[0] = False
+                flow = root_flow(nodes)
+                stays = decode(nodes, np.where(flow, 1.0, own))
+                # Text outside of html and body lies in the body, as browsers read it.
+                stays[0] = flow[0] or any(stays[k] for k, node in enumerate(nodes) if node.tag == "body")
                 out.append("\n".join(blocks_of(nodes, stays)))
         return out
 

@@ -97,6 +97,13 @@ def test_odd_pages(spark, extractor):
     assert html_text.extract(pages.limit(0), extractor).count() == 0
 
 
+def test_fragments_keep_the_text_at_their_root(extractor):
+    pages = ["Some text.<br>More text.", "Text <b>word</b>", 'Text <a href="x"><i>word</i></a> end', "<b>First</b> words<script>x</script> &amp; last", "<a>x</a> | <a>y</a>"]
+    assert extractor.texts(pages)[:4] == ["Some text. More text.", "Text word", "Text word end", "First words\n& last"]
+    assert not html_text.root_flow(html_text.parse(pages[4])).any()
+    assert not html_text.root_flow(html_text.parse("<html><body>words</body></html> stray")).any()
+
+
 # --- language ID
 
 
