@@ -10,6 +10,11 @@ are what BPE makes of their concatenation; so a step onto a piece scores 0 if it
 and minus infinity if not, and the maximum finds the same ids as the merges would. Whether two pieces may be neighbours
 is looked up by undoing their merges, vectorised over pairs.
 
+That also lets a long word (an unbroken run of letters) advance in overlapping stretches, all at once: where two of them
+hold the same piece at the same place, their encodings join there, as every pair of neighbours stays one of either. Where
+they hold none in common, the later stretch begins anew at the last pieces of the earlier one, back to the beginning if need
+be. Under a unigram model a long word advances alone.
+
 Edge cases: a null or empty text has no ids and decodes to the empty text; characters without a piece become byte pieces
 (or the unknown piece where a model has none); a literal U+2581 decodes to a blank, as in the public library, so that
 only such texts are not restored; repeated rows get a row each; an empty table gives no rows; other columns are not read.
@@ -18,6 +23,7 @@ only such texts are not restored; repeated rows get a row each; an empty table g
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -40,6 +46,8 @@ HELD_PAIRS = 1 << 21  #: slots for pairs of pieces that a worker remembers
 TOGETHER = 1 << 16  #: characters of words that advance together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
+LONG = 2048  #: characters beyond which a BPE word advances in stretches
+STRETCH, OVERLAP = 512, 128  #: characters of a stretch before the next one begins, and after
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -255,11 +263,12 @@ class Encoder:
             by.setdefault(len(w), []).append(w)
         sizes, flats, base = [], [], len(self.words)
         for n, same in by.items():
-            for a in range(0, len(same), step := max(1, TOGETHER // n)):
+            alone = n > LONG and self.m.kind == BPE
+            for a in range(0, len(same), step := 1 if alone else max(1, TOGETHER // n)):
                 part = same[a : a + step]
                 self.words.update(zip(part, range(base, base + len(part)), strict=True))
                 base += len(part)
-                ids, counts = self.paths(part)
+                ids, counts = self.long_path(part[0]) if alone else self.paths(part)
                 flats.append(ids)
                 sizes.append(counts)
         sizes = np.concatenate(sizes)
@@ -268,7 +277,52 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *flats]).astype(np.int32)
 
     def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of words of one length one after the other, number of ids of each). Tables have a row a place, a column a word."""
+        """(ids of words of one length one after the other, number of ids of each)."""
+        codes, ids, ends = self._walk(words)
+        return self._spelled(codes[ends], ids, ends.sum(axis=1))
+
+    def long_path(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """`paths` of one long word of a BPE model, by stretches that are encoded together."""
+        n, size = len(word), STRETCH + OVERLAP
+        starts = range(0, n - OVERLAP, STRETCH)
+        once: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # stretch -> (ends, pieces)
+        fresh = sorted({word[a : a + size] for a in starts}, key=len)
+        for length, same in itertools.groupby(fresh, len):
+            same = list(same)
+            for a in range(0, len(same), step := max(1, 4 * TOGETHER // length)):
+                self._stretches(same[a : a + step], once)
+        ends, ids, held = np.zeros(n, np.int64), np.zeros(n, np.int64), 0  # the path so far: `held` pieces
+        for a in starts:
+            own_ends, own_ids = once[word[a : a + size]]
+            own_ends = own_ends + a
+            low = max(0, held - len(own_ends))
+            _, at, own_at = np.intersect1d(ends[low:held] * len(self.m.texts) + ids[low:held], own_ends * len(self.m.texts) + own_ids, return_indices=True)
+            if len(at) or not held:
+                held = low + int(at[-1]) + 1 if held else 0
+                rest = slice(int(own_at[-1]) + 1 if held else 0, None)
+                own_ends, own_ids = own_ends[rest], own_ids[rest]
+            else:  # begin anew at a border of the path, each time further back, until the neighbours there fit
+                for back in (1 << k for k in itertools.count()):
+                    held = max(0, held - back)
+                    border = int(ends[held - 1]) if held else 0
+                    if word[border : a + size] not in once:
+                        self._stretches([word[border : a + size]], once)
+                    own_ends, own_ids = once[word[border : a + size]]
+                    own_ends = own_ends + border
+                    if not held or own_ids[0] < 0 or self._fit(ids[held - 1 : held], own_ids[:1])[0]:
+                        break
+            ends[held : held + len(own_ends)], ids[held : held + len(own_ids)] = own_ends, own_ids
+            held += len(own_ends)
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        return self._spelled(codes[ends[:held] - 1], ids[:held], np.array([held]))
+
+    def _stretches(self, same: list[str], into: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        _, ids, ends = self._walk(same)
+        cut = np.cumsum(ends.sum(axis=1))[:-1]
+        into.update(zip(same, zip(np.split(np.nonzero(ends)[1] + 1, cut), np.split(ids, cut), strict=True), strict=True))
+
+    def _walk(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points of words of one length, their pieces one after the other, where pieces end). Tables have a row a place, a column a word."""
         m, n, b = self.m, len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(b, n)
         places = np.ascontiguousarray(codes.T)
@@ -314,11 +368,7 @@ class Encoder:
                     better = reached > score[end, rows]
                     rows, ids = rows[better], ids[better]
                     score[end, rows], last[end, rows], back[end, rows], reachable[end, rows] = reached[better], ids, size, True
-        return self._followed(codes, last, back)
-
-    def _followed(self, codes: np.ndarray, last: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The paths that the backpointers name, all words a step at a time."""
-        b, n = codes.shape
+        # The paths that the backpointers name, all words a step at a time.
         ends = np.zeros((b, n), bool)  # a piece ends with this character
         rows, at = np.arange(b), np.full(b, n)
         while len(rows):
@@ -326,10 +376,13 @@ class Encoder:
             at = at - back[at, rows]
             on = at > 0
             rows, at = rows[on], at[on]
-        ids, counts = last[1:].T[ends], ends.sum(axis=1)
-        bare = ids < 0  # characters without a piece are spelled out
+        return codes, last[1:].T[ends], ends
+
+    def _spelled(self, final: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids with characters that have no piece spelled out; final: the code points that the pieces end with."""
+        bare = ids < 0
         if bare.any():
-            spelled = [self._bytes(chr(c)) for c in codes[ends][bare].tolist()]
+            spelled = [self._bytes(chr(c)) for c in final[bare].tolist()]
             width = np.ones(len(ids), np.int64)
             width[bare] = [len(x) for x in spelled]
             counts = np.add.reduceat(width, np.cumsum(counts) - counts)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -38,6 +39,26 @@ def test_ids_are_those_of_the_public_library(spark, encoder, public):
     assert [codec.decode(m, np.array(x, np.int64), surfaces) for x in got] == public.decode(got)
 
 
+def test_long_words_advance_in_stretches(encoder, public, monkeypatch):
+    rng = random.Random(8)
+    runs = ["".join(rng.choice("ABCDEFGHabcdefghijklmnop0123456789+/") for _ in range(30_000)), "a" * 9001, "abc" * 4000 + "x", "=" * 7777, "ab" * 3000 + "é" * 3000 + "thing" * 900, "日本語" * 3000]
+    assert both(encoder, runs) == public.encode(runs)
+    for name, value in (("LONG", 24), ("STRETCH", 16), ("OVERLAP", 8)):  # stretches that often have no piece in common
+        monkeypatch.setattr(codec, name, value)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(25, 200))) for letters in ("ab", "thingse", "aA0=", "xyzé") for _ in range(100)]
+    encoder.clear()
+    assert both(encoder, words) == public.encode(words)
+
+
+def test_a_run_of_two_million_letters_takes_seconds(encoder):
+    rng = random.Random(9)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2_000_000))
+    began = time.perf_counter()
+    ids, _ = encoder.encode([run])
+    assert time.perf_counter() - began < 60
+    assert codec.decode(encoder.m, ids, codec.surfaces_of(encoder.m)) == run
+
+
 def test_words_are_forgotten_at_the_bound(encoder, monkeypatch):
     monkeypatch.setattr(codec, "HELD_WORDS", 3)
     a = both(encoder, ["one two three four five", "six"])
