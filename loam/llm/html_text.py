@@ -9,8 +9,9 @@ is dropped, so no ancestor and descendant contradict each other.
 The model is trained here, on pages that `example_page` makes up with their article marked.
 
 Edge cases: null or empty html gives the empty text; text without any tag is one block; a fragment without html and
-body keeps the text right at its root with the inline elements in it; unclosed and stray tags, cut-off
-pages and raw elements without an end are read as browsers do, in the main; repeated rows get a row each; an empty table
+body keeps the text right at its root with the inline elements in it; where nothing would stay, the likeliest element does,
+unless that is unlikely too; unclosed and stray tags, cut-off
+pages and raw elements without an end are read as browsers do, in the main, in time linear in the page; repeated rows get a row each; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -32,6 +34,7 @@ from loam.llm.common import rows_of
 
 PAGES = 1200  #: made-up pages that the model is trained on
 SEED = 3
+LEAST, SURE = 0.1, 0.55  #: where nothing of a page stays, its likeliest element counts as SURE if it is LEAST or more
 # Fixed values of HTML: elements without an end tag, elements that hold text alone, inline elements, elements that end an open p.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -41,7 +44,9 @@ ENDS_P = set("address article aside blockquote center details dialog dir div dl
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 NEVER = RAW | set("head select button svg math canvas object audio video datalist".split())  #: text in these is no text of the page
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_next = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")  #: where markup begins
+_name = re.compile(r"</?[a-zA-Z][^\s/>]*+")
+_inside = re.compile(r"[^>\"']*+")
 _attribute = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _words = re.compile(r"[a-z]+")
 _word = re.compile(r"\w")
@@ -60,72 +65,139 @@ class Node:
     end: int = 0
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name or text, attributes, end) of texts, start tags ("<") and end tags ("</"); comments and the like fall out.
+
+    Linear in the page: a tag ends at the first > outside of quotes. Quotes that never close are no quotes, and neither
+    are any once a tag has run to the end of the page; without a > further on, the rest is text. The receiver may send
+    a place to go on from.
+    """
+    at, n, quoted = 0, len(page), True
+    last = {c: page.rfind(c) for c in "\"'>"}
+    while at < n:
+        m = _next.search(page, at)
+        start = m.start() if m else n
+        kind = m[0] if m else ""
+        if kind[-1:].isalpha() and last[">"] < start:
+            start = n
+        if start > at:
+            yield "", page[at:start], "", start
+        if start == n:
+            return
+        if kind == "<!--":
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+        elif kind == "<![CDATA[":
+            end = page.find("]]>", start + 9)
+            at = end + 3 if end >= 0 else n
+        elif kind in ("<!", "<?"):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else n
+        else:
+            name = _name.match(page, start)
+            end = name.end()
+            while quoted:
+                end = _inside.match(page, end).end()
+                if end == n or page[end] == ">":
+                    quoted = end < n
+                    break
+                end = (page.find(page[end], end + 1) if end < last[page[end]] else end) + 1
+            if not quoted:
+                end = page.find(">", name.end())
+            shut = kind.startswith("</")
+            at = (yield kind[:-1], name[0][2 if shut else 1 :].lower(), page[name.end() : end], end + 1) or end + 1
+
+
+class _Stack:
+    """The open elements, with the places of each tag's and of the blocks among them."""
+
+    def __init__(self) -> None:
+        self.nodes: list[int] = []
+        self.tags: list[str] = []
+        self.of: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self.of.setdefault(tag, []).append(len(self.nodes))
+        if tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def pop(self) -> int:
+        tag = self.tags.pop()
+        self.of[tag].pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+        return self.nodes.pop()
+
+    def top(self, tags) -> int:
+        """The place of the innermost element with one of these tags, or 0 (the page)."""
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
+
+    def outermost(self, tags, above: int) -> int | None:
+        """The place of the outermost element with one of these tags within the one at `above`."""
+        places = (self.of.get(t, ()) for t in tags)
+        return min((own[k] for own in places if (k := bisect_right(own, above)) < len(own)), default=None)
+
+
 def parse(page: str | None) -> list[Node]:
-    """The elements in page order; node 0 is the page itself. A text's place counts the tags and texts before it."""
+    """The elements in page order; node 0 is the page itself. A text's place counts the tags and texts before it.
+
+    Linear in the page but for the elements a tag closes, each of which is closed once.
+    """
     nodes = [Node("#page", -1, 0)]
-    stack = [0]
-    place, skip_to = 0, -1
+    stack = _Stack()
+    stack.push(0, "#page")
+    place = 0
     page = page or ""
 
     def close(upto: int) -> None:
-        while len(stack) > upto:
+        while len(stack.nodes) > upto:
             node = nodes[stack.pop()]
             node.last, node.end = len(nodes), place
 
-    for m in _token.finditer(page):
-        if m.start() < skip_to:
-            continue
+    source, goto = tokens(page), None
+    while True:
+        try:
+            kind, tag, attributes, end = source.send(goto)
+        except StopIteration:
+            break
+        goto = None
         place += 1
-        end, tag, attributes, text = m.groups()
-        if text is not None:
-            nodes[stack[-1]].runs.append((place, text))
+        if not kind:
+            nodes[stack.nodes[-1]].runs.append((place, tag))
             continue
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if end:
-            if tag == "p" and not any(nodes[k].tag == "p" for k in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[k]].tag
-                if own == tag:
-                    close(k)
-                    break
-                if tag in INLINE and own not in INLINE:  # an inline end tag does not reach out of its block
-                    break
+        if kind == "</":
+            at = stack.top((tag,))
+            if at and (tag not in INLINE or at > stack.blocks[-1]):  # an inline end tag does not reach out of its block
+                close(at)
             continue
         if tag not in INLINE:  # inline elements that were left open end with their block
-            if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == "p":
-                        close(k)
-                        break
-                    if nodes[stack[k]].tag not in INLINE:
-                        break
-            while len(stack) > 1 and nodes[stack[-1]].tag in INLINE and nodes[stack[-1]].tag != "a":
-                close(len(stack) - 1)
+            if tag in ENDS_P and stack.tags[stack.blocks[-1]] == "p":
+                close(stack.blocks[-1])
+            while len(stack.nodes) > 1 and stack.tags[-1] in INLINE and stack.tags[-1] != "a":
+                close(len(stack.nodes) - 1)
         if tag in CLOSES:
             gone, bound = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in bound:
-                    break
-                if nodes[stack[k]].tag in gone:
-                    close(k)
+            at = stack.outermost(gone, stack.top(bound))
+            if at is not None:
+                close(at)
         found = {}
         if attributes:
             for name, *values in _attribute.findall(attributes):
                 found.setdefault(name.lower(), next((v for v in values if v), ""))
-        tokens = tuple(_words.findall(" ".join(found.get(a, "") for a in ("class", "id", "role", "itemprop", "aria-label")).lower()))
-        node = Node(tag, stack[-1], len(stack), tokens, marked="data-truth" in found, start=place, end=place)
+        words = tuple(_words.findall(" ".join(found.get(a, "") for a in ("class", "id", "role", "itemprop", "aria-label")).lower()))
+        node = Node(tag, stack.nodes[-1], len(stack.nodes), words, marked="data-truth" in found, start=place, end=place)
         nodes.append(node)
         if tag in RAW:
-            over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, m.end())
-            skip_to = over.end() if over else len(page)
+            over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, end)
+            goto = over.end() if over else len(page)
             node.last = len(nodes)
         elif tag in VOID or attributes.rstrip().endswith("/") and tag in {"path", "circle", "rect", "use", "line", "polygon"}:
             node.last = len(nodes)
         else:
-            stack.append(len(nodes) - 1)
+            stack.push(len(nodes) - 1, tag)
     close(0)
     return nodes
 
@@ -194,14 +266,28 @@ def describe(nodes: list[Node], t: Tables) -> np.ndarray:
     return x
 
 
+def weights(nodes: list[Node]) -> np.ndarray:
+    """How much the choice for an element counts: by the text right in it, of which 400 characters say all."""
+    return np.array([0.2 * any(_word.search(r) for _, r in node.runs) + min(400, sum(len(r) for _, r in node.runs)) / 100 for node in nodes])
+
+
+def encouraged(nodes: list[Node], p: np.ndarray) -> np.ndarray:
+    """p for a page of which nothing stays, shifted so that its likeliest element with words does, if that is not unlikely at all."""
+    best = max((q for node, q in zip(nodes[1:], p[1:], strict=True) if node.tag not in NEVER and any(_word.search(r) for _, r in node.runs)), default=0.0)
+    if not LEAST <= best < SURE:
+        return p
+    odds = p / np.maximum(1 - p, 1e-9) * (SURE / (1 - SURE)) * (1 - best) / best
+    return odds / (1 + odds)
+
+
 def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
     """Which elements stay: the likeliest choice in which an element stays only within elements that stay.
 
-    An element speaks for the text right in it, a little for itself. Bottom-up: the worth of dropping a subtree, and of keeping its top.
+    An element speaks for the text right in it, and one with words a little for itself. Bottom-up: the worth of dropping a subtree, and of keeping its top.
     """
     n = len(nodes)
     p = np.clip(p, 1e-6, 1 - 1e-6)
-    weight = np.array([0.2 + min(400, sum(len(r) for _, r in node.runs)) / 100 for node in nodes])
+    weight = weights(nodes)
     drop, keep = weight * np.log(1 - p), weight * np.log(p)
     keep[0] = drop[0] = 0.0
     for k in range(n - 1, 0, -1):
@@ -267,7 +353,10 @@ class Extractor:
                 out.append("\n".join(blocks_of(nodes, np.ones(1, bool))))
             else:
                 flow = root_flow(nodes)
-                stays = decode(nodes, np.where(flow, 1.0, own))
+                own = np.where(flow, 1.0, own)
+                stays = decode(nodes, own)
+                if not any(stays[k] and any(_word.search(r) for _, r in node.runs) for k, node in enumerate(nodes)):
+                    stays = decode(nodes, encouraged(nodes, own))
                 # Text outside of html and body lies in the body, as browsers read it.
                 stays[0] = flow[0] or any(stays[k] for k, node in enumerate(nodes) if node.tag == "body")
                 out.append("\n".join(blocks_of(nodes, stays)))
@@ -311,7 +400,7 @@ def example_page(rng: random.Random) -> str:
         return some(f"<section class=\"{some('comments', 'discussion', 'responses')}\"><h2>{say(1, 2)}</h2>{items}</section>", f"<div id=\"{some('comments', 'disqus', 'respond')}\">{items}</div>", f"<ul class=\"comments\">{items}</ul>", f"<ol class=\"commentlist\">{items}</ol>")
 
     def paragraph() -> str:
-        text = prose(1, 7)
+        text = say(2, 7) if short or rng.random() < 0.1 else prose(1, 7)
         if rng.random() < 0.2:
             text += f" {link()} {say(2, 5)}"
         return some(f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p{attribute('text', 'lead', 'intro', 'paragraph')}>{text}</p>", f"<div>{text}</div>" if rng.random() < 0.3 else f"<p><em>{say(2, 4)}</em> {text}</p>")
@@ -334,7 +423,12 @@ def example_page(rng: random.Random) -> str:
             return f"<pre><code>{say(4, 20)}</code></pre>"
         return f"<!--junk-->{junk()}"
 
-    heading = f"<h1>{say(2, 9)}</h1>" if rng.random() < 0.9 else ""
+    short = rng.random() < 0.15
+    heading = f"<h1>{say(1 if short else 2, 9)}</h1>" if rng.random() < 0.9 else ""
+    if (bare := rng.random()) < 0.12:  # nothing but an article: in an element, right in the body, or as a fragment
+        text = heading + some("".join(paragraph() for _ in range(rng.randint(1, 4))), "<br>".join(say(2, 7) if short else prose(1, 3) for _ in range(rng.randint(1, 4))))
+        inner = some(f"<article data-truth>{text}</article>", f"<div data-truth>{text}</div>", f"<main data-truth>{text}</main>")
+        return some(inner, f"<html><body>{inner}</body></html>") if bare < 0.06 else f"<html><head><title>{say(2, 9)}</title></head><body data-truth>{text}</body></html>"
     body = heading + "".join(piece() for _ in range(rng.choice([0, 1, 1, 1, 2, 2, 3, 4, 6, 8, 12, 20])))
     article = some(f"<article data-truth{attribute('post', 'entry', 'story')}>{body}</article>", f"<article data-truth>{body}</article>", f"<article data-truth>{body}</article>", f"<main data-truth{attribute('content', 'main')}>{body}</main>", f"<div data-truth class=\"{some('content', 'post', 'entry content', 'article body', 'main', 'story', 'text', 'post body')}\">{body}</div>", f"<div data-truth id=\"{some('content', 'main', 'article', 'story')}\">{body}</div>", f"<section data-truth>{body}</section>", f"<div data-truth>{body}</div>")
     if rng.random() < 0.25:
@@ -380,7 +474,7 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Extractor:
     smooth = {key: (c[0] + 3 * middle) / (c[1] + 3) for key, c in shares.items()}
     tables = Tables({k: v for (kind, k), v in smooth.items() if kind == "tag"}, {k: v for (kind, k), v in smooth.items() if kind == "token"}, middle)
     x = np.concatenate([describe(nodes, tables) for nodes in parsed])
-    weight = np.concatenate([[0.2 + min(400, sum(len(r) for _, r in node.runs)) / 100 for node in nodes] for nodes in parsed])
+    weight = np.concatenate([0.2 + weights(nodes) for nodes in parsed])
     return Extractor(fit(x, y, weight), tables)
 
 

@@ -40,7 +40,7 @@ def test_pages_give_their_articles(spark, extractor):
     rows = {r.page_id: r.html for r in pages.collect()}
     got = html_text.extract(pages, extractor).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
-    assert sum(r.text == plain_article(rows[r.page_id]) for r in got) >= 0.98 * len(got)
+    assert sum(r.text == plain_article(rows[r.page_id]) for r in got) >= 0.99 * len(got)
 
 
 def test_made_up_pages_that_were_not_trained_on(extractor):
@@ -67,7 +67,7 @@ def test_decoding_is_the_best_consistent_choice():
     import itertools
 
     for own in p:
-        weight = np.array([0.2 + sum(len(r) for _, r in n.runs) / 100 for n in nodes])
+        weight = np.array([sum(0.2 + len(r) / 100 for _, r in n.runs) for n in nodes])
         worth = lambda s: sum(w * np.log(q if keep else 1 - q) for keep, q, w in zip(s[1:], own[1:], weight[1:], strict=True))
         fine = [s for s in itertools.product((False, True), repeat=len(nodes)) if s[0] and all(s[n.parent] for n, k in zip(nodes[1:], s[1:], strict=True) if k)]
         assert worth(html_text.decode(nodes, own).tolist()) == pytest.approx(max(map(worth, fine)))
@@ -97,6 +97,26 @@ def test_odd_pages(spark, extractor):
     assert html_text.extract(pages.limit(0), extractor).count() == 0
 
 
+def test_short_articles(extractor):
+    body = "word " * 150
+    pages = ["<article><p>One short line.</p></article>", "<html><body><h1>Title</h1><p>One.</p></body></html>", f"<html><body>{body}<br>{body}</body></html>"]
+    assert extractor.texts(pages) == ["One short line.", "Title\nOne.", " ".join((body + body).split())]
+    assert extractor.texts(["<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><footer>&copy; 2020</footer></body></html>"]) == [""]
+
+
+HOSTILE = ["<a " * 300_000, '<a "> "' * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<div>" * 40_000 + "<li>" * 40_000, "<a<a<a" * 50_000 + '">"', "<a x='" * 100_000, "<script>" * 50_000, "<!--" * 100_000, '<a href="' * 100_000 + ">"]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=lambda p: p[:8])
+def test_hostile_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.perf_counter()
+    nodes = html_text.parse(page)
+    html_text.blocks_of(nodes, np.ones(len(nodes), bool))
+    assert time.perf_counter() - began < 10
+
+
 def test_fragments_keep_the_text_at_their_root(extractor):
     pages = ["Some text.<br>More text.", "Text <b>word</b>", 'Text <a href="x"><i>word</i></a> end', "<b>First</b> words<script>x</script> &amp; last", "<a>x</a> | <a>y</a>"]
     assert extractor.texts(pages)[:4] == ["Some text. More text.", "Text word", "Text word end", "First words\n& last"]
