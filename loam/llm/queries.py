@@ -48,7 +48,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(table(spark, sf_dir, "documents"))
+    out = media.text_media(table(spark, sf_dir, "documents"))
+    ranges = F.transform("keyframe_ranges", lambda r: F.concat(r["start"], F.lit("-"), r["end"]))
+    return out.withColumn("keyframe_ranges", F.array_join(ranges, ","))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_html_text, op4_simhash, op5_mixing, op6_topk, op7_line_dedup, op8_language_id, op9_media, op10_sharding)
 }
 
+
+
+def _u32(n: str) -> str:
+    return f"printf('%08x', {n})"
+
+
+def _u64(n: str) -> str:
+    return f"printf('%016x', {n})"
+
+
+def _crc32(values: str) -> str:
+    """SQL: the CRC-32 of a list of bytes."""
+    steps = "list_reduce(list_prepend(xor(c, b) & 255, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda t, z: xor(t >> 1, 3988292384 * (t & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: xor(c >> 8, {steps})), 4294967295)"
+
+
+def _bytes(digits: str) -> str:
+    """SQL: hexadecimal digits as a list of bytes."""
+    return f"[CAST('0x' || substr({digits}, 2 * i + 1, 2) AS BIGINT) FOR i IN range(strlen({digits}) // 2)]"
+
+
+def _container() -> str:
+    """SQL: the hexadecimal digits of all that stands before the payload of `n` units, in boxes of stated lengths."""
+    x = lambda text: text.encode().hex()
+    unity = "00010000" + "0" * 24 + "00010000" + "0" * 24 + "40000000"
+    movie = f"'00000078' || '{x('mvhd')}' || '01000000' || '{'0' * 32}' || '00001f40' || {_u64('192 * n')} || '000100000100' || '{'0' * 20}' || '{unity}' || '{'0' * 48}' || '00000002'"
+    track = f"'00000068' || '{x('tkhd')}' || '01000007' || '{'0' * 32}' || '0000000100000000' || {_u64('192 * n')} || '{'0' * 16}' || '0000000001000000' || '{unity}' || '{'0' * 16}'"
+    mdhd = f"'0000002c' || '{x('mdhd')}' || '01000000' || '{'0' * 32}' || '00001f40' || {_u64('192 * n')} || '55c40000'"
+    hdlr = f"'0000002b{x('hdlr')}0000000000000000{x('soun')}{'0' * 24}{x('text bytes')}00'"
+    smhd = f"'00000010{x('smhd')}0000000000000000'"
+    dinf = f"'00000024{x('dinf')}0000001c{x('dref')}00000000000000010000000c{x('url ')}00000001'"
+    stsd = f"'00000034{x('stsd')}000000000000000100000024{x('raw ')}0000000000000001{'0' * 16}000100080000" + "0000" + "1f400000'"
+    stts = f"'00000018{x('stts')}0000000000000001' || {_u32('n')} || '000000c0'"
+    stss = f"{_u32('16 + 4 * keys')} || '{x('stss')}00000000' || {_u32('keys')} || list_aggregate([printf('%08x', 16 * k + 1) FOR k IN range(keys)], 'string_agg', '')"
+    whole = "CASE WHEN n >= 64 THEN '000000010000004000000001' ELSE '' END"
+    rest = f"CASE WHEN n % 64 > 0 THEN {_u32('n // 64 + 1')} || {_u32('n % 64')} || '00000001' ELSE '' END"
+    stsc = f"{_u32('16 + 12 * runs')} || '{x('stsc')}00000000' || {_u32('runs')} || {whole} || {rest}"
+    stsz = f"'00000014{x('stsz')}00000000000000c0' || {_u32('n')}"
+    stco = f"{_u32('16 + 4 * chunks')} || '{x('stco')}00000000' || {_u32('chunks')} || list_aggregate([printf('%08x', lead + 12288 * k) FOR k IN range(chunks)], 'string_agg', '')"
+    table = f"{_u32('tables')} || '{x('stbl')}' || {stsd} || {stts} || {stss} || {stsc} || {stsz} || {stco}"
+    media = f"{_u32('tables + 155')} || '{x('mdia')}' || {mdhd} || {hdlr} || {_u32('tables + 60')} || '{x('minf')}' || {smhd} || {dinf} || {table}"
+    moov = f"{_u32('lead - 32')} || '{x('moov')}' || {movie} || {_u32('tables + 267')} || '{x('trak')}' || {track} || {media}"
+    return f"'00000018{x('ftyp')}{x('qt  ')}00000000{x('qt  isom')}' || {moov} || {_u32('8 + 192 * n')} || '{x('mdat')}'"
+
+
 _SPACE = r"\x20\x09-\x0D"
 ORACLE_SQL: dict[str, str] = {
     # Of sources one document each belongs to, the cheapest flow takes the target in whole passes and a rest. Capped sources
@@ -109,4 +156,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    # The container of formats small enough for 32-bit offsets, box by box.
+    "op9_media": f"""
+        WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+        units AS (SELECT *, greatest(1, (n_bytes + 191) // 192) AS n FROM raw),
+        counts AS (
+            SELECT *, encode(text || repeat(' ', 192 * n - n_bytes)) AS payload, (n + 15) // 16 AS keys, (n + 63) // 64 AS chunks,
+                   CAST(n >= 64 AS BIGINT) + CAST(n % 64 > 0 AS BIGINT) AS runs FROM units),
+        places AS (SELECT *, 152 + 4 * keys + 12 * runs + 4 * chunks AS tables FROM counts),
+        leads AS (SELECT *, tables + 427 AS lead FROM places),
+        stored AS (SELECT *, unhex({_container()}) || payload AS file, [lead + 3072 * k FOR k IN range(keys)] AS starts, lower(right(hex(payload), 32)) AS tail FROM leads),
+        ranged AS (SELECT *, list_aggregate([printf('%016x%016x', a, a + 192) FOR a IN starts], 'string_agg', '') AS packed FROM stored)
+        SELECT doc_id, n_bytes, 192 * n AS payload_bytes, sha256(payload) AS payload_sha256, {_crc32(_bytes('tail'))} AS tail_crc32,
+               CAST(octet_length(file) AS BIGINT) AS media_bytes, sha256(file) AS media_sha256,
+               printf('brand=qt;codec=raw;seconds=%.3f;samples=%d;keyframes=%d;ranges=%s;ranges_crc32=%08x', 192 * n / 8000.0, n, keys,
+                      CASE WHEN keys > 1 THEN printf('%d-%d,%d-%d', starts[1], starts[1] + 192, starts[-1], starts[-1] + 192) ELSE printf('%d-%d', starts[1], starts[1] + 192) END,
+                      {_crc32(_bytes('packed'))}) AS feature,
+               CAST(NULL AS VARCHAR) AS media_error, list_aggregate([printf('%d-%d', a, a + 192) FOR a IN starts], 'string_agg', ',') AS keyframe_ranges
+        FROM ranged""",
 }

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -30,6 +31,79 @@ def test_broken_containers_say_so():
         assert media.read(content[:cut]).error
 
 
+def plain_media(content):
+    """An independent reading of what `store` writes: (samples, keyframes), by searching for the tables by name."""
+    u32 = lambda at: int.from_bytes(content[at : at + 4], "big")
+    body = lambda kind: content.index(kind) + 8
+    size, count = u32(body(b"stsz")), u32(body(b"stsz") + 4)
+    chunks = [u32(body(b"stco") + 4 + 4 * k) for k in range(u32(body(b"stco")))]
+    runs = [[u32(body(b"stsc") + 4 + 12 * k + 4 * j) for j in range(2)] for k in range(u32(body(b"stsc")))]
+    samples = []
+    for number, at in enumerate(chunks, 1):
+        per = [p for first, p in runs if first <= number][-1]
+        samples += [(at + k * size, at + (k + 1) * size) for k in range(per)]
+    assert len(samples) == count
+    return samples, [samples[u32(body(b"stss") + 4 + 4 * k) - 1] for k in range(u32(body(b"stss")))]
+
+
+@pytest.mark.parametrize("n", [1, 16, 17, 64, 65, 1000])
+def test_container_against_an_independent_reading(n):
+    payload = random.Random(n).randbytes(n * 192)
+    content = media.store(payload)
+    samples, keys = plain_media(content)
+    assert b"".join(content[a:b] for a, b in samples) == payload
+    got = media.read(content)
+    assert [tuple(x) for x in got.keyframe_ranges().tolist()] == keys
+    packed = b"".join(a.to_bytes(8, "big") + b.to_bytes(8, "big") for a, b in keys)
+    ends = ",".join(dict.fromkeys(f"{a}-{b}" for a, b in (keys[0], keys[-1])))
+    assert media.feature(got) == f"brand=qt;codec=raw;seconds={n * 192 / 8000:.3f};samples={n};keyframes={-(-n // 16)};ranges={ends};ranges_crc32={zlib.crc32(packed):08x}"
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def words(*values):
+    return b"".join(v.to_bytes(4, "big") for v in values)
+
+
+def test_hostile_containers_say_so():
+    deep = b""
+    for _ in range(1500):
+        deep = box(b"moov", deep)
+    assert "deep" in media.read(deep).error
+    table = lambda *parts: box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", *parts)))))
+    tracemalloc.start()
+    got = media.read(table(box(b"stsz", words(0, 1, 2**32 - 1)), box(b"stsc", words(0, 1, 1, 2**32 - 1, 1)), box(b"stco", words(0, 1, 0))))
+    assert got.error and tracemalloc.get_traced_memory()[1] < 2**22
+    tracemalloc.stop()
+    content = media.store(bytes(192 * 70))
+    at = content.index(b"stsz") + 12
+    for count in (69, 71, 2**31):  # other than the chunks hold
+        assert media.read(content[:at] + words(count) + content[at + 4 :]).error
+    at = content.index(b"stss") + 12
+    assert media.read(content[:at] + words(0) + content[at + 4 :]).error and media.read(content[:at] + words(71) + content[at + 4 :]).error
+
+
+def test_fragments_are_read():
+    track = box(b"trak", box(b"tkhd", words(0, 0, 0, 7)), box(b"mdia", box(b"mdhd", words(0, 0, 0, 1000, 0)), box(b"minf", box(b"stbl", box(b"stsz", words(0, 0, 0))))))
+    head = box(b"moov", track, box(b"mvex", box(b"trex", words(0, 7, 1, 0, 3, 0x10000))))
+
+    def fragment(offset):
+        return box(b"moof", box(b"traf", box(b"tfhd", words(0x20000, 7)), box(b"trun", words(0x205, 3, offset, 0), words(4, 5, 6))), box(b"traf", box(b"tfhd", words(0x20000, 8)), box(b"trun", words(0x1, 1, offset))))
+
+    moof = fragment(0)
+    moof = fragment(len(moof) + 8)
+    content = head + moof + box(b"mdat", b"aaaabbbbbcccccc")
+    got = media.read(content)
+    assert got.error and "run" in got.error  # the other track's samples have no size
+    content = content.replace(words(0x20000, 8), words(0x20000, 7))
+    got = media.read(content)
+    assert got.error is None and media.read_back(content, got) == b"aaaabbbbbccccccaaa"
+    assert [content[a:b] for a, b in got.keyframe_ranges().tolist()] == [b"aaaa"]
+
+
 def test_media_of_odd_texts(odd_docs, no_docs):
     got = media.text_media(odd_docs).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in odd_docs.collect()}
@@ -38,7 +112,7 @@ def test_media_of_odd_texts(odd_docs, no_docs):
         raw = texts[r.doc_id]
         payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert r.media_error is None
+        assert r.media_error is None and len(r.keyframe_ranges) == -(-(len(payload) // 192) // 16)
     assert media.text_media(no_docs).count() == 0
 
 
