@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +19,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch that a Python operator turns into objects at a time; Spark's own batches are larger.
 SLICE = 1024
-#: Text characters that one step of a Python operator holds at a time (a longer text is a step of its own).
-STEP_CHARS = 2_000_000
+#: Bytes of text that one step of a Python operator holds at a time (a longer text is a step of its own).
+STEP_BYTES = 2_000_000
 
 _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset and all runs on one machine (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="loam-")
@@ -77,20 +81,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
     release()
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[list[tuple]]:
-    """The rows of Arrow batches in lists whose texts (column number `text`) hold STEP_CHARS characters together at most."""
+def steps(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of SLICE rows at most, whose texts (column number `text`) hold STEP_BYTES together, or one row."""
     for batch in slices(batches):
-        columns = [c.to_pylist() for c in batch.columns]
-        step, held = [], 0
-        for row in zip(*columns, strict=True):
-            n = len(row[text] or "")
-            if step and held + n > STEP_CHARS:
-                yield step
-                step, held = [], 0
-            step.append(row)
-            held += n
-        if step:
-            yield step
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < len(sizes):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP_BYTES, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[list[tuple]]:
+    """The rows of Arrow batches as lists of tuples, a step at a time, so that no more than a step's texts are objects."""
+    for step in steps(batches, text):
+        yield list(zip(*(c.to_pylist() for c in step.columns), strict=True))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

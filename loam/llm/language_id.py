@@ -4,26 +4,27 @@ The network reads windows of a text's UTF-8 bytes from both sides, gives every p
 and a document's score is the mean of its positions' distributions over the whole text. It is trained here, in numpy,
 by backpropagation through time on a bounded sample: DOCS documents a language, WINDOWS windows of each.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0; with no labelled row to learn from every text
+Edge cases: a null text, or one without a letter (Unicode's category L), is `und` with score 0; with no labelled row to learn from every text
 is `und`; a null lang is not learned from; a null doc_id counts as the empty text when rows are held out; repeated rows
 get a row each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import STEP_CHARS, held_out, rows_of, slices
+from loam.llm.common import held_out, rows_of, steps
 
 DOCS = 300  #: bound of the sample: labelled documents a language
-WINDOWS = 6  #: and windows of each of them
+WINDOWS = 6  #: and windows of each of them, spread evenly from its beginning to its end
+LANGUAGES = 1000  #: values of lang at most; more are an error
 WINDOW = 64  #: bytes that the network reads at a time
 HIDDEN = 8
 STEPS = 220
@@ -32,7 +33,7 @@ RATE = 0.02
 SEED = 11
 AT_ONCE = 4096  #: windows that are run side by side
 PAD = 256
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -157,7 +158,7 @@ def document_scores(m: Model, texts: list[str]) -> np.ndarray:
     for a in range(0, len(owner), AT_ONCE):
         at = start[a : a + AT_ONCE, None] + np.arange(WINDOW)
         real = np.arange(WINDOW) < size[a : a + AT_ONCE, None]
-        x = np.where(real, data[np.minimum(at, len(data) - 1)], PAD).astype(np.int64)
+        x = np.where(real, data[np.minimum(at, len(data) - 1)].astype(np.int64), PAD)
         p = _scores(m, _run(m, x)[0])
         p *= real.T[:, :, None]
         np.add.at(total, owner[a : a + AT_ONCE], p.sum(axis=0))
@@ -169,7 +170,9 @@ def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
     spark = docs.sparkSession
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= DOCS).select("doc_id").distinct().collect()  # DOCS ids a language at most
+    chosen = known.select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= DOCS).select("doc_id").distinct().limit(DOCS * LANGUAGES + 1).collect()  # DOCS ids a language at most
+    if len(chosen) > DOCS * LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     ids = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long").coalesce(1))
     step = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS))
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring("text", (k * step + 1).cast("int"), F.lit(WINDOW)))
@@ -205,18 +208,12 @@ def reject_unknown(docs: DataFrame, least: float = 0.3, model: Model | None = No
     names, at = docs.columns, docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in steps(batches, at):
             texts = batch.column(at).to_pylist()
             keep = np.zeros(len(texts), bool)
-            held: list[int] = []
-            size = 0
-            for k, text in enumerate([*texts, None]):
-                if text and m and LETTER.search(text):
-                    held.append(k)
-                    size += len(text)
-                if held and (size > STEP_CHARS or k == len(texts)):
-                    keep[held] = document_scores(m, [texts[i] for i in held]).max(axis=1) >= least
-                    held, size = [], 0
+            lettered = [k for k, text in enumerate(texts) if text and m and LETTER.search(text)]
+            if lettered:
+                keep[lettered] = document_scores(m, [texts[k] for k in lettered]).max(axis=1) >= least
             yield batch.filter(pa.array(keep)).select(names)
 
     return docs.mapInArrow(work, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import SPACES, forget, rows_of, slices, written
+from loam.llm.common import SPACES, forget, rows_of, steps, written
 
 MIN_CHARS = 10
 BATCHES = 3  #: batches that a one-off job over a whole table is dealt in
@@ -137,11 +137,10 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     names = docs.columns
     at = names.index("text")
 
-    def work(parts):
-        for batch in slices(parts):
-            lists = [c.to_pylist() for c in (batch.column(at), batch.column(len(names)))]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, at):
             texts = []
-            for text, lost in zip(*lists, strict=True):
+            for text, lost in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 gone = set(lost or ())
                 texts.append(text if not gone else b"\n".join(x for x in text.encode().split(b"\n") if key_hash(x) not in gone).decode())
             columns = list(batch.columns[: len(names)])

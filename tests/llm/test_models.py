@@ -176,6 +176,51 @@ def test_languages_of_held_out_documents(languages):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_scores(m, text):
+    """The network of one text, a byte, a gate and a position at a time."""
+    raw, n = text.encode(), language_id.HIDDEN
+    total = np.zeros(len(m.languages))
+    for a in range(0, len(raw), language_id.WINDOW):
+        window = list(raw[a : a + language_id.WINDOW])
+        padded = window + [language_id.PAD] * (language_id.WINDOW - len(window))
+        states = []
+        for way, order in ((0, padded), (1, padded[::-1])):
+            h, own = np.zeros(n), []
+            for byte in order:
+                x, w = m.inputs[way][byte].astype(float), m.recurrent[way].astype(float)
+                r = 1 / (1 + np.exp(-2 * (x[:n] + h @ w[:, :n])))
+                z = 1 / (1 + np.exp(-2 * (x[n : 2 * n] + h @ w[:, n : 2 * n])))
+                c = np.tanh(x[2 * n :] + (r * h) @ w[:, 2 * n :])
+                h = (1 - z) * c + z * h
+                own.append(h)
+            states.append(own if way == 0 else own[::-1])
+        for k in range(len(window)):
+            s = np.exp(states[0][k] @ m.outputs[0] + states[1][k] @ m.outputs[1] + m.bias)
+            total += s / s.sum()
+    return total / max(1, len(raw))
+
+
+def test_scores_against_a_plain_network(languages, odd_docs, monkeypatch):
+    docs, model = languages
+    monkeypatch.setattr(language_id, "AT_ONCE", 7)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["é", "x" * 64, "x" * 65, "日本" * 50]
+    want = np.array([plain_scores(model, t) for t in texts])
+    assert np.allclose(language_id.document_scores(model, texts), want, atol=2e-4)
+    monkeypatch.undo()
+    rows = language_id.identify(docs.orderBy("doc_id").limit(25), model).collect()
+    for r in rows:
+        own = want[[x == r.doc_id for x in [d.doc_id for d in docs.orderBy("doc_id").limit(25).collect()]].index(True)]
+        assert r.score == pytest.approx(own.max(), abs=2e-4) and (model.languages[own.argmax()] == r.lang_pred or np.sort(own)[-2] > own.max() - 1e-3)
+
+
+def test_letters_are_those_of_unicode(languages, spark):
+    _, model = languages
+    texts = {1: "½ ² Ⅷ ٣ _ 12", 2: "ª", 3: "日", 4: "\u0301", 5: "a½"}
+    docs = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.identify(docs, model).collect() if r.lang_pred == "und"} == {1, 4}
+    assert 1 not in {r.doc_id for r in language_id.reject_unknown(docs, model=model).collect()}
+
+
 def test_labels_are_never_an_input(languages, spark):
     docs, model = languages
     import pyspark.sql.functions as F
