@@ -21,6 +21,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 SLICE = 1024
 #: Bytes of text that one step of a Python operator holds at a time (a longer text is a step of its own).
 STEP_BYTES = 2_000_000
+HOT_ROWS = 100  #: rows up to which no key is hot
 
 _own_dir: dict[str, str] = {}
 
@@ -38,22 +39,67 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back, so lost executors cost no recomputation."""
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loam/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, bucketed: str | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it back, so lost executors cost no recomputation.
+
+    bucketed: a column that the rows are dealt by, into as many sorted buckets as shuffles have partitions, so that later
+    joins on it neither shuffle nor sort this table again.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loam/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{own}"
+    if bucketed:
+        tag = "loam_" + own.replace("-", "_")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(buckets, bucketed).sortBy(bucketed).option("path", path).saveAsTable(tag)
+        out = spark.table(tag)
+        out.loam_table = tag
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out.loam_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that written() made and nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "loam_path", None)
-    if path:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if getattr(df, "loam_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.loam_table}")
+    if getattr(df, "loam_path", None):
+        _delete(df.sparkSession, df.loam_path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that the operators of this application wrote into the shared folder, once no result of theirs is read any more."""
+    _delete(spark, _folder(spark))
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, hot: list, how: str = "inner") -> DataFrame:
+    """left.join(right, on), where each key of `hot` (a list of bounded length) has few rows on the right and any number on
+    the left: those rows of the right are broadcast, so that no task gets all of a hot key's rows of the left."""
+    if not hot:
+        return left.join(right, on, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], f"{on} {left.schema[on].dataType.simpleString()}").coalesce(1))
+    rest = left.join(keys, on, "left_anti").join(right, on, how)
+    return rest.unionByName(left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how))
+
+
+HOT_KEYS = 1000  #: a key with more than one row in HOT_KEYS is hot; so there are no more hot keys than that
+
+
+def hot_keys(counts: DataFrame, on: str, n: str = "n") -> list:
+    """The keys of (on, n) that hold more than a HOT_KEYS-th of the sum of n, and over HOT_ROWS rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.filter(F.col(n) > max(HOT_ROWS, total / HOT_KEYS)).select(on).collect()]  # HOT_KEYS keys at most
 
 
 def held_out(doc_id: Column) -> Column:

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loam.llm import line_dedup, media, mixing, sharding, topk
+from loam.llm import common, line_dedup, media, mixing, sharding, topk
 
 
 # --- media
@@ -193,6 +193,34 @@ def test_line_dedup_matches_brute_force(odd_docs, real_docs, batches):
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got), key=str) == plain_lines(rows)
 
 
+def test_registered_batches_reach_a_second_level_of_sorted_runs(real_docs, monkeypatch):
+    levels, plans, names = [], [], line_dedup.written
+
+    def spied(df, name, bucketed=None):
+        if bucketed:
+            levels.append(int(name.rsplit("-", 1)[1]))
+        if name == "line-run-0" and max(levels) > 0:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return names(df, name, bucketed)
+
+    monkeypatch.setattr(line_dedup, "written", spied)
+    rows = [(r.doc_id, r.text) for r in real_docs.collect()]
+    got = line_dedup.kept_lines(real_docs).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got), key=str) == plain_lines(rows)
+    assert max(levels) == 1
+    initial = plans[-1].split("== Initial Plan ==")[-1]
+    assert initial.count("SortMergeJoin") == 2 and initial.count("Exchange hashpartitioning(h") == 1  # a run of each level; the batch alone moves
+
+
+def test_hot_lines_and_rows_without_ids(spark, monkeypatch):
+    rows = [(k if k % 3 else None, f"a line that all of them hold\nown line number {k // 2}\n{'x' * (k % 7)}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for hot in (10, 10**9):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = line_dedup.kept_lines(docs).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got), key=str) == plain_lines(rows)
+
+
 def test_line_dedup_keeps_columns(odd_docs, no_docs):
     out = line_dedup.dedup_lines(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
