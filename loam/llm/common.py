@@ -98,8 +98,9 @@ HOT_KEYS = 1000  #: a key with more than one row in HOT_KEYS is hot; so there ar
 
 def hot_keys(counts: DataFrame, on: str, n: str = "n") -> list:
     """The keys of (on, n) that hold more than a HOT_KEYS-th of the sum of n, and over HOT_ROWS rows."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.filter(F.col(n) > max(HOT_ROWS, total / HOT_KEYS)).select(on).collect()]  # HOT_KEYS keys at most
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    least = max(HOT_ROWS, (total or 0) / HOT_KEYS)
+    return [r[0] for r in counts.filter(F.col(n) > least).select(on).collect()] if (most or 0) > least else []  # HOT_KEYS keys at most
 
 
 def held_out(doc_id: Column) -> Column:

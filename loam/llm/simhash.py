@@ -14,7 +14,11 @@ With at most 4 errors over three segments, either a segment has none, or two seg
 Keys only propose: each candidate pair is verified on all 64 bits. Only connectivity is asked for, so no bucket is
 expanded into all its pairs: the members of a bucket of exact keys are first tested against its least fingerprint, which
 joins a group of near copies with as many rows as it has members; after that buckets within one component are left out,
-and elsewhere only the members outside the bucket's largest component are tested against the others. All of this is on distinct fingerprints; copies share theirs.
+and elsewhere only the members outside the bucket's largest component are tested against the others. A bucket that still
+holds more than CROWD components is dealt into finer ones before that: its pairs differ in few of the bits that its key
+leaves open, so those are cut into one piece more than errors, of which one has none and makes the key longer. All of this
+is on distinct fingerprints; copies share theirs. Fingerprints, roots and hubs with a good share of the rows stay where
+they are in joins.
 
 Edge cases: a null text, an empty text or one of white space alone has fingerprint zero and links like any other; under 4
 words, the whole sequence is the only shingle; a null doc_id ranks last as component_id, which is null only where all
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import forget, rows_of, slices, written
+from loam.llm.common import forget, hot_join, hot_keys, rows_of, slices, written
 from loam.llm.components import components
 
 SHINGLE = 4
@@ -41,6 +45,8 @@ DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  #: (first bit, bits)
 GENERATOR = 0b101011100011  #: fixed value: the generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 RUN = 1 << 16  #: shingles whose bits are counted at a time
+CROWD = 32  #: components of a bucket beyond which it is dealt into finer ones
+SPREAD = 20_000  #: fingerprints whose keys one task makes, about
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -173,44 +179,103 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(roots[row]), pa.array(side)], names=["key", "fp", "root", "side"])
 
 
+def finer_keys(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(longer key, row) of members of buckets: the key mixed with each piece of the bits that it leaves open."""
+    every = range(len(SEGMENTS))
+    pairs = list(itertools.combinations(every, 2))
+    kind, own = key >> 44, key >> 40 & 15
+    keys, rows = [], []
+    for k in np.unique(kind).tolist():
+        exact = k < len(SEGMENTS)
+        open_ = [x for x in every if x != k] if exact else [x for x in every if x not in pairs[k - len(SEGMENTS)]]
+        count, errors = (DISTANCE + 1, DISTANCE) if exact else (DISTANCE - 1, 2)
+        places = np.array([p for x in open_ for p in range(SEGMENTS[x][0], sum(SEGMENTS[x]))], np.uint64)
+        for m, fixed in enumerate(np.array_split(places, count)):
+            at = np.flatnonzero((kind == k) & (own == m))
+            left = places[~np.isin(places, fixed)]
+            for j, bits in enumerate(np.array_split(left, errors + 1)):
+                piece = np.full(len(at), j, np.uint64)
+                for p in bits:
+                    piece = piece << np.uint64(1) | fps[at] >> p & np.uint64(1)
+                keys.append((key[at].view(np.uint64) * MIX ^ piece * MIX2).view(np.int64))  # chance meetings are ruled out by verification
+                rows.append(at)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        if batch.num_rows:
+            key, fps, roots, side = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            longer, row = finer_keys(key, fps.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(longer), pa.array(fps[row]), pa.array(roots[row]), pa.array(side[row])], names=["key", "fp", "root", "side"])
+
+
 def near(a: str, b: str, distance: int = DISTANCE):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+MEMBER = "key long, fp long, root long, side byte"
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets where a left side and a right side come from two components, with the bucket's largest component (main) and their number (roots)."""
+    on = lambda side: F.when(F.col("side") != side, F.col("root"))
+    ends = members.groupBy("key").agg(F.min(on(RIGHT)).alias("l"), F.max(on(RIGHT)).alias("ll"), F.min(on(LEFT)).alias("r"), F.max(on(LEFT)).alias("rr"))
+    shared = ends.filter("l is not null and r is not null and (l <> r or l <> ll or r <> rr)").select("key")
+    kept = written(members.join(shared, "key"), "simhash-shared")
+    sizes = kept.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    out = written(kept.join(main, "key"), "simhash-open")
+    forget(kept)
+    return out
+
+
+def _cross(members: DataFrame) -> DataFrame:
+    """Links (a, b) between components: members outside a bucket's largest component against the others."""
+    some = members.filter("root <> main").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("side").alias("sa"))
+    others = members.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("side").alias("sb"))
+    sides = ((F.col("sa") == EXACT) & (F.col("sb") == EXACT)) | (F.col("sa") + F.col("sb") == LEFT + RIGHT)
+    return some.join(others, (some["key"] == others["key"]) & (F.col("ra") != F.col("rb")) & sides & near("a", "b")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
 def link(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> (fp, root): the component of every one of them, under the least signed value in it."""
+    spread = max(1, -(-fps.count() // SPREAD))
+    fps = fps.repartition(spread)
     exact = fps.mapInArrow(_exact, "key long, fp long")
     reps = exact.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("top")).filter("rep <> top").select("key", "rep")
     stars = exact.join(reps, "key").filter((F.col("fp") != F.col("rep")) & near("fp", "rep"))
-    first = written(components(stars.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct()), "simhash-first")
+    first = components(stars.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct())
     labelled = written(fps.join(first, fps["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-labelled")
-    keyed = written(labelled.mapInArrow(_keyed, "key long, fp long, root long, side byte"), "simhash-keys")
-    on = lambda side: F.when(F.col("side") != side, F.col("root"))
-    ends = keyed.groupBy("key").agg(F.min(on(RIGHT)).alias("l"), F.max(on(RIGHT)).alias("ll"), F.min(on(LEFT)).alias("r"), F.max(on(LEFT)).alias("rr"))
-    # A key is of use where a left side and a right side come from two components.
-    shared = ends.filter("l is not null and r is not null and (l <> r or l <> ll or r <> rr)").select("key")
-    open_ = written(keyed.join(shared, "key"), "simhash-open")
+    keyed = written(labelled.repartition(spread).mapInArrow(_keyed, MEMBER), "simhash-keys")
+    members = _open(keyed)
     forget(keyed)
-    sizes = open_.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    some = open_.join(main, "key").filter("root <> main").select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("side").alias("sa"))
-    others = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("side").alias("sb"))
-    sides = ((F.col("sa") == EXACT) & (F.col("sb") == EXACT)) | (F.col("sa") + F.col("sb") == LEFT + RIGHT)
-    cross = some.join(others, (some["key"] == others["key"]) & (F.col("ra") != F.col("rb")) & sides & near("a", "b"))
-    second = components(cross.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    second = second.select(F.col("node").alias("root"), F.col("root").alias("last"))
-    return labelled.join(second, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
+    links = _cross(members.filter(F.col("roots") <= CROWD))
+    crowded, finer = members.filter(F.col("roots") > CROWD).select("key", "fp", "root", "side"), []
+    if not crowded.isEmpty():
+        finer = [_open(crowded.mapInArrow(_finer, MEMBER))]
+        links = links.unionByName(_cross(finer[0]))
+    second = components(links.distinct())
+    for t in (members, *finer):
+        forget(t)
+    second = written(second.select(F.col("node").alias("root"), F.col("root").alias("last")), "simhash-second")
+    counts = labelled.groupBy("root").agg(F.count("*").alias("n"))
+    joined = hot_join(labelled, second, "root", hot_keys(counts, "root"), "left")
+    return joined.select("fp", F.coalesce("last", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for each row of docs."""
     hashed = written(fingerprints(docs), "simhash-fp")
-    least = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = written(link(least.select("fp")), "simhash-roots")
-    joined = least.join(roots, "fp")
-    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(joined.join(groups, "root").select("fp", "component_id"), "simhash-groups")
-    return hashed.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    joined = written(least.join(link(least.select("fp")), "fp"), "simhash-roots")
+    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = hot_join(joined.select("fp", "root"), groups.select("root", "component_id"), "root", hot_keys(groups, "root"))
+    named = written(named.select("fp", "component_id"), "simhash-groups")
+    return hot_join(hashed, named, "fp", hot_keys(least, "fp")).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp):

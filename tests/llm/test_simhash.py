@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from loam.llm import simhash
+from loam.llm import common, simhash
 
 
 def plain_fingerprint(text):
@@ -87,6 +87,57 @@ def test_close_fingerprints_link_without_all_pairs(spark):
             assert (want[v] == want[w]) == (got.get(v, v) == got.get(w, w))
 
 
+def test_finer_keys_keep_every_link():
+    rng = random.Random(6)
+    a = [rng.getrandbits(64) for _ in range(3000)]
+    b = []
+    for x in a:
+        for bit in rng.sample(range(64), rng.randint(0, 4)):
+            x ^= 1 << bit
+        b.append(x)
+    met = set()
+    sides = []
+    for values in (a, b):
+        fps = np.array(values, np.uint64)
+        key, row, side = simhash.keys_of(fps)
+        longer, at = simhash.finer_keys(key, fps[row])
+        sides.append({(int(r), int(k), int(s)) for r, k, s in zip(row[at], longer, side[at])})
+    met = {r for r, k, s in sides[0] if (r, k, {0: 1, 1: 0, 2: 2}[s]) in sides[1]}
+    assert met == set(range(len(a)))
+
+
+def test_crowded_buckets_of_short_documents(spark, monkeypatch):
+    rng = random.Random(8)
+    # Five words have two shingles: a bit is set with chance 1/4, and keys pile up. Templates differ in 5 to 10 bits.
+    values = {rng.getrandbits(64) & rng.getrandbits(64) for _ in range(700)}
+    template = rng.getrandbits(64)
+    for _ in range(700):
+        x = template
+        for bit in rng.sample(range(64), rng.randint(3, 6)):
+            x ^= 1 << bit
+        values.add(x)
+    values = sorted(values)
+    want = dict(zip(values, groups([(v, v) for v in values])))
+    fps = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fp long")
+    for crowd in (0, 3, 32):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = {r.fp % 2**64: r.root for r in simhash.link(fps).collect()}
+        least = {}
+        for v in values:
+            assert least.setdefault(want[v], got[v]) == got[v]
+        assert len(set(least.values())) == len(least)
+
+
+def test_rows_without_ids_and_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    texts = ["one text that a third of all rows hold word for word"] * 40 + [f"text {k} of its own {k * k} words {k + 7} here" for k in range(40)] + [None, "", " "]
+    rows = [(None if k % 4 == 0 else k // 2, t) for k, t in enumerate(texts)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    items = [((d is None, d), plain_fingerprint(t)) for d, t in rows]
+    want = [(d, f, g[1]) for ((_, d), f), g in zip(items, groups(items))]
+    assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_odd_and_empty_tables(odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
