@@ -301,6 +301,37 @@ def test_mix(real_docs, odd_docs, no_docs):
     assert mixing.mix(no_docs, F.array("source")).count() == 0
 
 
+ALIKE = {
+    "no ids": [(None, f"{'w ' * 30}{k}") for k in range(100)],
+    "copies without ids": [(None, "w " * 30)] * 100,
+    "one id": [(7, "w " * (k % 5 + 28)) for k in range(100)],
+    "one row": [(7, "w " * 30)] * 100,
+}
+
+
+@pytest.mark.parametrize("case", sorted(ALIKE))
+def test_rows_that_share_an_id_are_cut_apart(spark, case):
+    import pyspark.sql.functions as F
+
+    others = [(1000 + k, "v " * 40, "b") for k in range(100)] + [(2000 + k, "v " * 90, "c") for k in range(100)]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in ALIKE[case]] + others, "doc_id long, text string, source string")
+    rows = mixing.mix(docs, F.array("source")).collect()
+    assert len(rows) == 300
+    for name in "abc":
+        own = [r for r in rows if name in r.pattern]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2 + 1
+        assert all(r.taken <= 2 * r["size"] for r in own)
+
+
+def test_too_many_patterns_are_an_error(spark, monkeypatch):
+    import pyspark.sql.functions as F
+
+    monkeypatch.setattr(mixing, "PATTERNS", 9)
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("source"))
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(docs, F.array("source"))
+
+
 def test_mix_of_overlapping_sources(spark):
     import pyspark.sql.functions as F
 
