@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from loam.functions import text as T
 from loam.operators import audit, budgets, control, lexical, mining, retrieval, store, synthesis, vectors
+from loam.session import LIMITS
 from loam.streaming.ingest import windowed_counts
 
-# Searches, answered by every query key that ranks: (query_id, text).
-SEARCHES = ((1, "the of and thing"), (2, "idiot worthless clown"), (3, "élle réeux pour. Der die ein von keit!\nlicensed under apache"), (4, "thing thing order"))
 SPACE = r"[\s\x{FEFF}]"  # as RE2 has it, ASCII white space; the test tables hold no other
 
 
@@ -34,8 +33,9 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     return _memories(spark, d).select(F.col("memory_id").alias("version_id"), F.col("source").alias("session_id"), "kind", "text")
 
 
-def _searches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEARCHES), "query_id long, text string").coalesce(1)
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of text searches: every document whose id is divisible by 100, whole; its vector is that of the same id."""
+    return _table(spark, d, "documents").filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
 
 
 def _sql_text(x: str) -> str:
@@ -167,7 +167,8 @@ def payload_render(spark, d):
     return _memories(spark, d).select("memory_id", T.payload_line(F.col("memory_id"), F.col("kind"), F.col("state"), F.lit(1), F.col("text")).alias("line"))
 
 
-_VALUES = ", ".join(f"({n}, {_sql_text(t)})" for n, t in SEARCHES)
+_ASKED = "(SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0)"
+_SEGMENT = LIMITS.query_segment_chars
 BM25 = f"""tokens AS (SELECT doc_id, {SEARCH_TERMS.format('text')} AS terms FROM documents),
     stats AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_len FROM tokens),
     asked AS (SELECT query_id, segment_no, term, count(*) AS times FROM (SELECT query_id, segment_no, unnest({SEARCH_TERMS.format('text')}) AS term FROM segments) GROUP BY ALL),
@@ -176,30 +177,32 @@ BM25 = f"""tokens AS (SELECT doc_id, {SEARCH_TERMS.format('text')} AS terms FROM
     idf AS (SELECT term, CASE WHEN ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM postings, stats GROUP BY term, n_docs),
     hits AS (SELECT a.query_id, a.segment_no, p.doc_id AS node_id, sum(a.times * i.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / s.avg_len))) AS score
         FROM postings p JOIN idf i ON p.term = i.term JOIN asked a ON a.term = p.term, stats s GROUP BY ALL),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, segment_no ORDER BY round(score, 12) DESC, node_id) AS rank FROM hits)"""
-WHOLE = f"segments AS (SELECT query_id, 0 AS segment_no, text FROM (VALUES {_VALUES}) q(query_id, text))"
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, segment_no ORDER BY round(score, 6) DESC, node_id) AS rank FROM hits)"""
+WHOLE = f"segments AS (SELECT query_id, 0 AS segment_no, text FROM {_ASKED})"
 
 
-@query(f"WITH {WHOLE}, {BM25} SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank, round(score, 9) AS score FROM ranked WHERE rank <= 100")
+@query(f"WITH {WHOLE}, {BM25} SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 100")
 def bm25_search(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    hits = lexical.bm25(docs, _searches(spark).withColumn("segment_no", F.lit(0)))
-    return lexical.ranked(hits, most=100).select("query_id", "node_id", "rank", F.round("score", 9).alias("score"))
+    hits = lexical.bm25(docs, _searches(spark, d).withColumn("segment_no", F.lit(0)))
+    return lexical.ranked(hits, most=100).select("query_id", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
-_PIECES = f"""pieces AS (SELECT query_id, unnest(list_filter([trim(s) FOR s IN string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')], lambda s: s <> '')) AS s,
-        generate_subscripts(list_filter([trim(s) FOR s IN string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')], lambda s: s <> ''), 1) AS n FROM (VALUES {_VALUES}) q(query_id, text))"""
+_PIECES = f"""pieces AS (SELECT query_id, unnest(list_filter([regexp_replace(s, '^\\s+|\\s+$', '', 'g') FOR s IN string_split_regex(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')], lambda s: s <> '')) AS s,
+        generate_subscripts(list_filter([regexp_replace(s, '^\\s+|\\s+$', '', 'g') FOR s IN string_split_regex(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')], lambda s: s <> ''), 1) AS n FROM {_ASKED})"""
 
 
-@query(f"""WITH RECURSIVE {_PIECES}, f AS (SELECT query_id, n, s, length(s) AS chars, 0 AS segment_no FROM pieces WHERE n = 1
-        UNION ALL SELECT p.query_id, p.n, p.s, CASE WHEN f.chars + 1 + length(p.s) > 40 THEN length(p.s) ELSE f.chars + 1 + length(p.s) END, CASE WHEN f.chars + 1 + length(p.s) > 40 THEN f.segment_no + 1 ELSE f.segment_no END
+@query(f"""WITH RECURSIVE {_PIECES}, f AS (SELECT query_id, n, s, CASE WHEN length(s) > {_SEGMENT} THEN 0 ELSE length(s) END AS chars, 0 AS segment_no FROM pieces WHERE n = 1
+        UNION ALL SELECT p.query_id, p.n, p.s,
+            CASE WHEN length(p.s) > {_SEGMENT} THEN 0 WHEN f.chars = 0 OR f.chars + 1 + length(p.s) > {_SEGMENT} THEN length(p.s) ELSE f.chars + 1 + length(p.s) END,
+            CASE WHEN length(p.s) > {_SEGMENT} OR f.chars = 0 OR f.chars + 1 + length(p.s) > {_SEGMENT} THEN f.segment_no + 1 ELSE f.segment_no END
         FROM f JOIN pieces p ON p.query_id = f.query_id AND p.n = f.n + 1),
     segments AS (SELECT query_id, segment_no, string_agg(s, ' ' ORDER BY n) AS text FROM f GROUP BY ALL), {BM25},
     kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY segment_no, rank) AS q FROM ranked WHERE rank <= 600)
     SELECT query_id, node_id, CAST(min(rank) AS INTEGER) AS rank FROM kept WHERE q <= 600 GROUP BY ALL""")
 def bm25_multi_segment(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    parts = retrieval.segmented(_searches(spark), 40)
+    parts = retrieval.segmented(_searches(spark, d))
     return lexical.quota(lexical.ranked(lexical.bm25(docs, parts), most=600), most=600)
 
 
@@ -234,16 +237,15 @@ def semantic_best_rank(spark, d):
 
 FUSED = f"""{WHOLE}, {BM25}, {COSINES},
     lex AS (SELECT query_id, node_id, rank AS lexical_rank FROM ranked WHERE rank <= 600),
-    sem AS (SELECT query_id // 100 + 1 AS query_id, node_id, rank AS semantic_rank, score AS semantic_score FROM near WHERE query_id < 400),
+    sem AS (SELECT query_id, node_id, rank AS semantic_rank, score AS semantic_score FROM near),
     fused AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.node_id, s.node_id) AS node_id, lexical_rank, semantic_rank, semantic_score,
         coalesce(1.0 / (60 + lexical_rank), 0.0) + coalesce(1.0 / (60 + semantic_rank), 0.0) AS score FROM lex l FULL JOIN sem s ON l.query_id = s.query_id AND l.node_id = s.node_id)"""
 
 
 def _fused(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    found = lexical.ranked(lexical.bm25(docs, _searches(spark).withColumn("segment_no", F.lit(0))), most=600)
-    near = vectors.ranked(_cosines(spark, d, 0.15)).filter("query_id < 400").withColumn("query_id", (F.col("query_id") / 100 + 1).cast("long"))
-    return retrieval.fuse(found, near)
+    found = lexical.ranked(lexical.bm25(docs, _searches(spark, d).withColumn("segment_no", F.lit(0))), most=600)
+    return retrieval.fuse(found, vectors.ranked(_cosines(spark, d, 0.15)))
 
 
 @query(f"WITH {FUSED} SELECT query_id, node_id, CAST(lexical_rank AS INTEGER) AS lexical_rank, CAST(semantic_rank AS INTEGER) AS semantic_rank, round(semantic_score, 6) AS semantic_score, round(score, 9) AS score FROM fused")
