@@ -2,11 +2,13 @@
 
 Folding undoes disguises: compatibility forms and accents are decomposed, homoglyphs of other scripts and digits or
 signs that stand for letters become those letters, case goes, and everything else separates words. The lexicon is
-learned from labelled rows: words and beginnings of words that toxic documents use far more often than others, weighted
-by their log-odds (a word counts once, with its heaviest entry); a phrase of a lexicon word with a neighbour that is no sign of toxicity is an exception and takes the word's weight back.
+learned from labelled rows: words that toxic documents use far more often than others, weighted by their log-odds, and
+beginnings that say so of several words together (a word counts once, with its heaviest entry). A phrase of a
+lexicon word with a neighbour is an exception, and takes the word's weight back, if the documents that hold it are clean
+ones by far, whatever the word's other documents are.
 A document's weight is set against its length, and a logistic curve fitted on the same sample turns both into a score.
 
-The sample is bounded: DOCS labelled documents of either label, from rows that are not held out.
+The sample is bounded: DOCS labelled documents of either label, from rows that are not held out. Nothing else is.
 
 Edge cases: a null or empty text scores what weight 0 does; with no labelled row to learn from the lexicon is empty and every score 0;
 null labels are not learned from; repeated rows get a row each; an empty table gives no rows; other columns are not read.
@@ -26,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import held_out, rows_of
+from loam.llm.common import forget, held_out, rows_of, written
 
 DOCS = 8000  #: bound of the sample: labelled documents of either label
-WORDS = 4000  #: bound of the lexicon
-PHRASES = 4000  #: bound of the exceptions
 LEAST_DOCS = 4  #: sampled documents that a lexicon word or an exception is found in
 STEMS = range(4, 9)  #: letters of a beginning that stands for all words with it
 LEAST_WEIGHT = 1.5  #: log-odds of a lexicon word
+CLEANER = 4  #: how many times larger an exception's share of the clean documents is than that of the toxic ones
 FLOOR = (0.002, 2)  #: added to both shares of documents, so that entries of a few documents weigh little: a share, at least so many documents
 THRESHOLD = 0.3
 
@@ -146,9 +147,28 @@ def _odds(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> dict[st
     return {w: math.log(t / toxic + _floor(clean, toxic)) - math.log(n / clean + _floor(clean, toxic)) for w, n, t in counts}
 
 
+def beginnings(found: dict[str, tuple[int, int]]) -> set[str]:
+    """The beginnings (entries without a final blank) to keep, of entries found in (clean, toxic) documents.
+
+    One that stands for a single word, or for no more than a longer beginning does, adds nothing but other words that it
+    would hit: it must be in LEAST_DOCS more toxic documents than any longer entry that is listed.
+    """
+    kept: set[str] = set()
+    best: dict[str, int] = {}
+    for w in sorted(found, key=lambda w: (-len(w), w)):
+        toxic = found[w][1]
+        if w.endswith(" ") or toxic - best.get(w, 0) >= LEAST_DOCS:
+            if not w.endswith(" "):
+                kept.add(w)
+            for n in STEMS:
+                if len(w) > n:
+                    best[w[:n]] = max(toxic, best.get(w[:n], 0))
+    return kept
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """A lexicon from labelled documents. Words are counted on the executors; at most WORDS and PHRASES rows come back, and two numbers a sampled document."""
-    rows = _sampled(docs, labels)
+    """A lexicon from labelled documents. What is counted on the executors comes back as far as it enters the lexicon; of each sampled document, two numbers."""
+    rows = written(_sampled(docs, labels), "toxic-sample")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in rows_of(batches, text=0):
@@ -160,15 +180,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not clean or not toxic:
         return Lexicon()
 
-    def counted(frame: DataFrame, most: int, *keep) -> list[tuple[str, int, int]]:
-        n, t = F.sum(1 - F.col("toxic")).alias("n"), F.sum("toxic").alias("t")
-        floor = _floor(clean, toxic)
-        odds = F.log(F.col("t") / toxic + floor) - F.log(F.col("n") / clean + floor)
-        out = frame.groupBy("word").agg(n, t).withColumn("odds", odds).filter((F.col("n") + F.col("t") >= LEAST_DOCS) & keep[0])
-        return [(r.word, r.n, r.t) for r in out.orderBy(F.desc("t"), "word").limit(most).collect()]
+    def counted(frame: DataFrame, keep) -> list[tuple[str, int, int]]:
+        counts = frame.groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("n"), F.sum("toxic").alias("t"))
+        return [(r.word, r.n, r.t) for r in counts.filter(keep).collect()]
 
-    found = counted(rows.mapInArrow(words, "word string, toxic int"), WORDS, F.col("odds") >= LEAST_WEIGHT)
-    lexicon = Lexicon(_odds(found, clean, toxic))
+    floor = _floor(clean, toxic)
+    odds = F.log(F.col("t") / toxic + floor) - F.log(F.col("n") / clean + floor)
+    found = counted(rows.mapInArrow(words, "word string, toxic int"), (F.col("n") + F.col("t") >= LEAST_DOCS) & (odds >= LEAST_WEIGHT))
+    kept = beginnings({w: (n, t) for w, n, t in found})
+    lexicon = Lexicon(_odds([x for x in found if x[0].endswith(" ") or x[0] in kept], clean, toxic))
     listed = set(lexicon.words)
     is_listed = lambda w: f"{w} " in listed or any(w[:n] in listed for n in STEMS)
 
@@ -180,17 +200,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 pairs += [(p, t) for p in {f"{a} {b}" for a, b in zip(own, own[1:]) if is_listed(a) or is_listed(b)}]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.int32())], names=["word", "toxic"])
 
-    harmless = counted(rows.mapInArrow(phrases, "word string, toxic int"), PHRASES, F.col("odds") <= -LEAST_WEIGHT)
-    lexicon.exceptions = {p for p, _, _ in harmless}
+    harmless = (F.col("n") >= LEAST_DOCS) & (F.col("n") * toxic >= CLEANER * F.col("t") * clean)
+    lexicon.exceptions = {p for p, _, _ in counted(rows.mapInArrow(phrases, "word string, toxic int"), harmless)}
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in rows_of(batches, text=0):
             w = [lexicon.weigh(fold(text)) for text, _ in step]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in w], pa.float64()), pa.array([x for _, x in w], pa.float64()), pa.array([t for _, t in step], pa.int32())], names=["total", "density", "toxic"])
 
-    points = sorted((r.total, r.density, r.toxic) for r in rows.mapInArrow(weights, "total double, density double, toxic int").collect())
+    points = sorted((r.total, r.density, r.toxic) for r in rows.mapInArrow(weights, "total double, density double, toxic int").collect())  # 2 * DOCS rows at most
     lexicon.curve = _curve(np.array(points))
     lexicon._automaton = None
+    forget(rows)
     return lexicon
 
 

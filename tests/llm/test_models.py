@@ -281,13 +281,64 @@ def plain_weight(lexicon, text):
     return total
 
 
+def plain_lexicon(rows):
+    """What `learn` finds in (text, toxic) rows, by counting documents one after the other."""
+    sides = [[toxicity.fold(t).split() for t, y in rows if y == side] for side in (0, 1)]
+    clean, toxic = map(len, sides)
+    floor = max(0.002, 2 / min(clean, toxic))
+
+    def counts(parts):
+        out = {}
+        for side, texts in enumerate(sides):
+            for own in texts:
+                for x in parts(own):
+                    out.setdefault(x, [0, 0])[side] += 1
+        return out
+
+    odds = lambda c: np.log((c[1] / toxic + floor) / (c[0] / clean + floor))
+    found = {w: c for w, c in counts(lambda own: {f"{w} " for w in own} | {w[:n] for w in own for n in range(4, 9) if len(w) > n}).items() if sum(c) >= 4 and odds(c) >= 1.5}
+    words = {w: odds(c) for w, c in found.items() if w.endswith(" ")}
+    for size in range(8, 3, -1):  # longer beginnings first
+        for s, c in found.items():
+            if len(s) == size and not s.endswith(" ") and c[1] >= 4 + max((found[e][1] for e in [*words, *(w for w in found if w.endswith(" "))] if e.startswith(s) and e != s), default=0):
+                words[s] = odds(c)
+    listed = lambda w: any(f"{w} ".startswith(e) for e in words)
+    pairs = counts(lambda own: {f"{a} {b}" for a, b in zip(own, own[1:]) if listed(a) or listed(b)})
+    return words, {p for p, (n, t) in pairs.items() if n >= 4 and n * toxic >= 4 * t * clean}
+
+
+def test_learning_against_a_plain_count(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(600):
+        y = int(k % 3 == 0)
+        text = [rng.choice(["path", "worth", "wort", "loses", "app", "of", "and", "grand"]) for _ in range(12)]
+        if y:
+            text[rng.randrange(12)] = rng.choice(["pathetic", "worthless", "loser", "killer", "k1ller", "bomente" + rng.choice("abcdefghij") * 2])
+        elif k % 30 == 1:
+            text[4:6] = ["killer", "app"]
+        rows.append((k, " ".join(text), y))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    # Repeated and conflicting labels, labels of other values, and labels of documents that are not there.
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(k, y) for k, _, y in rows[:50]] + [(5, 1), (9000, 1), (None, 1), (6, None), (7, 3)], "doc_id long, toxic int")
+    known = {(k, t, y) for k, t, y in rows} | {(5, rows[5][1], 1)}
+    sample = sorted({(t, y) for k, t, y in known if zlib.crc32(str(k).encode()) % 4 != 2})
+    lexicon = toxicity.learn(docs, labels)
+    words, exceptions = plain_lexicon(sample)
+    assert set(lexicon.words) == set(words) and "killer app" in lexicon.exceptions and lexicon.exceptions == exceptions
+    assert all(lexicon.words[w] == pytest.approx(v) for w, v in words.items())
+    assert lexicon.weigh(toxicity.fold("the path is worth a Wort, she loses, a killer app"))[0] == 0
+    assert all(lexicon.weigh(toxicity.fold(w))[0] > 1.5 for w in ("pathetic", "worthless", "loser", "killer", "bomentexyz"))
+
+
 def test_scores_of_held_out_documents(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     lexicon = toxicity.learn(docs, labels)
     got = toxicity.score(docs, lexicon).join(labels, "doc_id").filter("held_out").collect()
     hits = sum(r.predicted and r.toxic for r in got)
-    assert hits / sum(r.predicted for r in got) > 0.85 and hits / sum(r.toxic for r in got) > 0.75
+    assert hits / sum(r.predicted for r in got) > 0.95 and hits / sum(r.toxic for r in got) > 0.93
+    assert not any(lexicon.weigh(toxicity.fold(w))[0] for w in ("Wort", "path", "worth", "loses", "lose"))
     for r in docs.limit(60).collect():
         assert lexicon.weigh(toxicity.fold(r.text))[0] == pytest.approx(plain_weight(lexicon, r.text))
     rows = toxicity.score(odd_docs, lexicon).collect()
