@@ -312,7 +312,7 @@ def test_learning_against_a_plain_count(spark):
     rows = []
     for k in range(600):
         y = int(k % 3 == 0)
-        text = [rng.choice(["path", "worth", "wort", "loses", "app", "of", "and", "grand"]) for _ in range(12)]
+        text = [rng.choice(["path", "worth", "wort", "loses", "apple", "of", "and", "grand"]) for _ in range(12)]
         if y:
             text[rng.randrange(12)] = rng.choice(["pathetic", "worthless", "loser", "killer", "k1ller", "bomente" + rng.choice("abcdefghij") * 2])
         elif k % 30 == 1:
