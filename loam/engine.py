@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
@@ -83,17 +84,23 @@ class Engine:
 
     def forget(self, memory_id: int) -> bool:
         """Retire a memory by hand; False where there is none."""
-        if self.table("memories").filter(F.col("memory_id") == memory_id).isEmpty():
+        if audit.one(self.table("memories"), memory_id).isEmpty():
             return False
+        read = self.store.paths()
         row = (self.workspace, self._next_commit(), 0, None, None, 0, None, None, 0, store.BY_HAND, None, memory_id, None, None)
-        self._commit_log(self.table("log").unionByName(self.spark.createDataFrame([row], store.LOG)), {})
+        self._commit_log(self.table("log").unionByName(self.spark.createDataFrame([row], store.LOG)), {}, read)
         return True
 
     def pause(self) -> config.Config:
-        return config.pause(self.config_path, True)
+        return self._paused(True)
 
     def resume(self) -> config.Config:
-        return config.pause(self.config_path, False)
+        return self._paused(False)
+
+    def _paused(self, paused: bool) -> config.Config:
+        if self.config_path is None:
+            raise ValueError("an engine without a configuration file cannot be paused")
+        return config.pause(self.config_path, paused)
 
     def run_command(self, line: str):
         """status, list [text], open M:n, forget M:n, pause, resume; `dream` needs its models and is a method."""
@@ -108,21 +115,32 @@ class Engine:
 
     # Control
 
-    def settled(self, now_ms: int, has_due: bool = True) -> bool:
-        """Note a settled turn; whether a run is due with it."""
-        c, state = self.config(), self.table("state")
-        facts = state.withColumns({"enabled": F.lit(c.enabled), "has_due": F.lit(has_due)})
-        due = control.cadence(facts, now_ms, c.minTurns, c.minMinutes).first()["due"]
-        self.store.commit({"state": control.settled(state)})
-        return bool(due)
+    def settled(self, now_ms: int, has_due: bool = True, sessions: str | None = None, cwd: str | None = None) -> bool:
+        """Note a settled turn; whether a run is due with it. With a folder of sessions, one that is to be mined is looked for
+        (last, as it reads their files)."""
+        c = self.config()
+        while True:
+            read, state = self.store.paths(), self.table("state")
+            facts = state.withColumns({"enabled": F.lit(c.enabled), "has_due": F.lit(has_due)})
+            due = bool(control.cadence(facts, now_ms, c.minTurns, c.minMinutes).first()["due"])
+            try:
+                self.store.commit({"state": control.settled(state)}, {"state": read["state"]})
+                break
+            except store.Conflict:  # another turn settled meanwhile: this one counts on top of it
+                continue
+        return due and (sessions is None or not control.due(self._found(sessions, cwd), self.table("checkpoints"), most=1).isEmpty())
 
     def report(self) -> str | None:
         """The next ended run to tell of, marked as told together with the commit; None without one."""
-        runs = self.table("runs")
-        row = control.unreported(runs).filter("place = 1").select("run_id").first()
-        if row:
-            self.store.commit({"runs": control.report_next(runs)})
-        return row["run_id"] if row else None
+        while True:
+            read, runs = self.store.paths(), self.table("runs")
+            row = control.unreported(runs).filter("place = 1").select("run_id").first()
+            try:
+                if row:
+                    self.store.commit({"runs": control.report_next(runs)}, {"runs": read["runs"]})
+                return row["run_id"] if row else None
+            except store.Conflict:  # another caller may have told of this run
+                continue
 
     def diagnostics(self) -> DataFrame:
         return control.diagnostics(self.table("state"), self.table("runs"))
@@ -199,6 +217,9 @@ class Engine:
     def dream(self, sessions: str, cwd: str, extract: Callable, decide: Callable, now_ms: int) -> dict | None:
         """Mine what is new below the folder `sessions`: counts of the run, None where another run is live or the workspace is paused.
 
+        Claims are single: of two at once, one finds the runs changed and gives None. The run's results are committed only while
+        its claim stands, and only onto the tables that they were made from.
+
         extract(segment text, problem) and decide(prompt, problem) are the two models. Sessions are mined newest first; the
         first that fails or is cut off by the run's budget ends the run.
         """
@@ -206,31 +227,37 @@ class Engine:
             return None
         run_id = f"{now_ms}-{uuid.uuid4().hex[:8]}"
         claims = self.spark.createDataFrame([(self.workspace, run_id)], "workspace_id string, run_id string")
+        began, read = time.time(), self.store.paths()
         runs = self._kept(control.acquire(self.table("runs"), claims, now_ms, self.limits.stale_ms), "runs")
         if runs.filter(F.col("run_id") == run_id).isEmpty():
             return None
-        self.store.commit({"runs": control.start(runs, run_id)})
         try:
-            changes, result = self._mined(run_id, sessions, cwd, extract, decide, now_ms)
+            self.store.commit({"runs": control.start(runs, run_id)}, {"runs": read["runs"]})
+        except store.Conflict:
+            return None
+        try:
+            read = self.store.paths()
+            changes, result = self._mined(run_id, sessions, cwd, extract, decide, began + 60 * self.limits.run_minutes)
+            read |= {k: v for k, v in self.store.paths().items() if k in ("runs", "state")}  # these are read again below
+            if not control.owns(self.table("runs"), run_id):
+                raise store.Conflict(f"run {run_id} lost its claim")
+            ended = "failed" if result["error"] else "completed"
+            runs = control.finish(self.table("runs"), run_id, ended, now_ms)
+            changes["runs"] = runs.withColumn("error", F.when(F.col("run_id") == run_id, F.lit(result["error"])).otherwise(F.col("error")))
+            state = control.failed(self.table("state"), now_ms) if result["error"] else control.succeeded(self.table("state"), now_ms, result["newest_mtime_ms"])
+            changes["state"] = control.patched(state, embedding_error=result.pop("embedding_error"))
+            self._commit_log(changes.pop("log"), changes, read)
         except Exception as e:
             ended = control.finish(self.table("runs"), run_id, "failed", now_ms)
             self.store.commit({"runs": ended.withColumn("error", F.when(F.col("run_id") == run_id, F.lit(str(e)[:400])).otherwise(F.col("error"))), "state": control.failed(self.table("state"), now_ms)})
             trace("dream", run_id=run_id, error=str(e))
             raise
-        ended = "failed" if result["error"] else "completed"
-        runs = control.finish(self.table("runs"), run_id, ended, now_ms)
-        changes["runs"] = runs.withColumn("error", F.when(F.col("run_id") == run_id, F.lit(result["error"])).otherwise(F.col("error")))
-        state = control.failed(self.table("state"), now_ms) if result["error"] else control.succeeded(self.table("state"), now_ms, result["newest_mtime_ms"])
-        changes["state"] = control.patched(state, embedding_error=result.pop("embedding_error"))
-        self._commit_log(changes.pop("log"), changes)
         trace("dream", **result)
         return result
 
-    def _mined(self, run_id: str, sessions: str, cwd: str, extract: Callable, decide: Callable, now_ms: int) -> tuple[dict[str, DataFrame], dict]:
+    def _mined(self, run_id: str, sessions: str, cwd: str, extract: Callable, decide: Callable, until: float) -> tuple[dict[str, DataFrame], dict]:
         limits, home = self.limits, f"{self.root}/runs/{run_id}"
-        found = transcripts.hashed(transcripts.files(self.spark, sessions), limits.session_bytes).withColumn("header", transcripts.header(F.col("content"))).filter(F.col("header.cwd") == cwd)
-        found = found.withColumns({"session_id": F.coalesce("header.id", T.fallback_session_id(F.col("path"), F.lit(cwd))), "cwd": F.lit(cwd), "workspace_id": F.lit(self.workspace)})
-        entries = manifest.snapshot(control.due(found, self.table("checkpoints"), most=limits.manifest_sessions), f"{home}/snapshot")
+        entries = manifest.snapshot(control.due(self._found(sessions, cwd), self.table("checkpoints"), most=limits.manifest_sessions), f"{home}/snapshot")
         manifest.save(entries, f"{home}/manifest")
         entries = manifest.load(self.spark, f"{home}/manifest").withColumn("session_order", F.row_number().over(Window.orderBy(F.desc("mtime_ms"), "session_id")))  # `manifest_sessions` rows
         raw = transcripts.verified(self.spark.read.parquet(f"{home}/snapshot").withColumn("length", F.length("content")), entries)
@@ -241,7 +268,12 @@ class Engine:
         segments = transcripts.pack(fresh.select("session", "index", "line"), limits.segment_chars, limits.segment_messages)
         within = mining.within_budget(segments.join(marks, "session").withColumn("run_id", F.lit(run_id)), limits.run_chars)
         within = self._kept(within, "segments")
-        candidates = self._kept(mining.extract(within, extract, limits), "candidates")
+        candidates = self._kept(mining.extract(within, extract, limits, until), "candidates")
+        late = candidates.filter(F.col("error") == mining.OUT_OF_TIME).join(marks, "session").agg(F.min(F.struct("session_order", "segment_no")).alias("at")).first()["at"]
+        if late is not None:  # as with the budget of characters: what lies before is mined, the rest is due in the next run
+            before = F.struct("session_order", "segment_no") < F.struct(F.lit(late["session_order"]).alias("session_order"), F.lit(late["segment_no"]).alias("segment_no"))
+            within = within.filter(before).withColumn("partial", F.col("partial") | (F.col("session_order") == late["session_order"]))
+            candidates = candidates.join(within.select("session", "segment_no"), ["session", "segment_no"], "left_semi")
         bad = candidates.filter("error is not null").join(marks, "session").agg(F.min("session_order").alias("at"), F.min_by("error", "session_order").alias("error")).first()
         stop = F.lit(True) if bad["at"] is None else F.col("session_order") < bad["at"]
         mined = within.filter(stop)
@@ -279,24 +311,34 @@ class Engine:
         changes: dict[str, DataFrame] = {"log": kept_log, "checkpoints": checkpoints}
         if self.embed:
             try:
-                changes["embeddings"] = self._embedded(store.fold(kept_log))
-                self.embedder = "ready"
+                changes["embeddings"], problem = self._embedded(store.fold(kept_log))
+                self.embedder, result["embedding_error"] = "failed" if problem else "ready", problem
             except Exception as e:  # an embedder that fails degrades search, it does not undo what was mined
                 self.embedder, result["embedding_error"] = "failed", str(e)[:400]
         return changes, result
 
-    def _embedded(self, memories: DataFrame) -> DataFrame:
-        active = memories.filter("state = 'active'").select(F.col("memory_id").alias("node_id"), "text")
-        return self._kept(vectors.refresh(active, self.table("embeddings"), self.model_id, self.embed), "embeddings")
+    def _found(self, sessions: str, cwd: str | None) -> DataFrame:
+        """The workspace's session files, with ids and hashes."""
+        found = transcripts.hashed(transcripts.files(self.spark, sessions), self.limits.session_bytes).withColumn("header", transcripts.header(F.col("content"))).filter(F.col("header.cwd") == cwd)
+        return found.withColumns({"session_id": F.coalesce("header.id", T.fallback_session_id(F.col("path"), F.lit(cwd))), "cwd": F.lit(cwd), "workspace_id": F.lit(self.workspace)})
+
+    def _embedded(self, memories: DataFrame) -> tuple[DataFrame, str | None]:
+        """The embeddings after a pass, and what ended it early."""
+        active = self._kept(memories.filter("state = 'active'").select(F.col("memory_id").alias("node_id"), "text"), "active")
+        have = self.table("embeddings")
+        made = self._kept(vectors.tried(vectors.stale(active, have, self.model_id), self.embed), "embedded")
+        problem = made.agg(F.min("error")).first()[0]
+        return self._kept(vectors.merged(active, have, made, self.model_id), "embeddings"), problem
 
     # Tables
 
     def _next_commit(self) -> int:
         return (self.table("log").agg(F.max("commit_seq")).first()[0] or 0) + 1
 
-    def _commit_log(self, rows: DataFrame, changes: dict[str, DataFrame]) -> None:
+    def _commit_log(self, rows: DataFrame, changes: dict[str, DataFrame], read: dict[str, str]) -> None:
         rows = self._kept(rows, "log")
-        self.store.commit({**changes, "log": rows, "memories": store.fold(rows), "versions": store.fold_versions(rows)})
+        tables = {**changes, "log": rows, "memories": store.fold(rows), "versions": store.fold_versions(rows)}
+        self.store.commit(tables, {k: v for k, v in read.items() if k in tables})
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """Written below the workspace and read back: what a model said, or what several tables derive from, is computed once."""

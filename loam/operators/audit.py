@@ -16,6 +16,16 @@ def matching(memories: DataFrame, query: str) -> DataFrame:
     return memories.filter(hit).withColumn("section", F.when(F.col("state") == "active", "active").otherwise("other"))
 
 
+def every(memories: DataFrame) -> DataFrame:
+    """Memories of all states, in the order of their ids."""
+    return memories.orderBy("memory_id")
+
+
+def one(memories: DataFrame, memory_id: int) -> DataFrame:
+    """The memory of an id, whatever its state; no row without one."""
+    return memories.filter(F.col("memory_id") == memory_id)
+
+
 def count_by_state(memories: DataFrame) -> DataFrame:
     """One row for active and retired each, 0 where there is none."""
     count = lambda s: F.count(F.when(F.col("state") == s, 1)).alias(s)

@@ -54,6 +54,11 @@ def acquire(runs: DataFrame, claims: DataFrame, now_ms: int, stale_ms: int = LIM
     return marked.select(*runs.columns).unionByName(new, allowMissingColumns=True)
 
 
+def owns(runs: DataFrame, run_id: str) -> bool:
+    """Whether the claim of a run still stands: no other claim has failed it as stale."""
+    return not runs.filter((F.col("run_id") == run_id) & F.col("status").isin("claimed", "running")).isEmpty()
+
+
 def start(runs: DataFrame, run_id: str) -> DataFrame:
     """The run table with a claimed run running; a run in any other state stays as it is."""
     mine = (F.col("run_id") == run_id) & (F.col("status") == "claimed")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -80,8 +81,14 @@ def _twice(ask: Callable[[str | None], str], read: Callable[[dict], list]) -> tu
     return [], problem
 
 
-def extract(segments: DataFrame, complete: Callable[[str, str | None], str], limits: Limits = LIMITS) -> DataFrame:
-    """segments (session, segment_no, text): candidates with ids that are unique in a session; a segment that fails twice is a row with `error`."""
+OUT_OF_TIME = "the run's time is up"  #: the error of a segment that was not asked about any more
+
+
+def extract(segments: DataFrame, complete: Callable[[str, str | None], str], limits: Limits = LIMITS, until: float | None = None) -> DataFrame:
+    """segments (session, segment_no, text): candidates with ids that are unique in a session; a segment that fails twice is a row with `error`.
+
+    until: the time (seconds since 1970) from which on no call is begun.
+    """
 
     def read(answer: dict) -> list[dict]:
         found = [c for c in map(candidate, answer["candidates"]) if c]
@@ -93,6 +100,9 @@ def extract(segments: DataFrame, complete: Callable[[str, str | None], str], lim
         for frame in frames:
             rows = []
             for s in frame.itertuples():
+                if until is not None and time.time() >= until:
+                    rows.append((s.session, s.segment_no, None, None, None, None, OUT_OF_TIME))
+                    continue
                 found, error = _twice(lambda problem, text=s.text: complete(text, problem), read)
                 rows += [(s.session, s.segment_no, f"S{s.segment_no}C{k + 1}", c["kind"], c["memory_text"], c["evidence_text"], None) for k, c in enumerate(found)]
                 if error:

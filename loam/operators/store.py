@@ -14,6 +14,7 @@ import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -223,10 +224,17 @@ def hydrate(memories: DataFrame, versions: DataFrame) -> DataFrame:
     return memories.join(current, "current_version_id").join(recurrence(versions), "memory_id", "left").withColumn("recurrence", F.coalesce("recurrence", F.lit(0)))
 
 
+class Conflict(RuntimeError):
+    """Another writer changed a table that a commit was based on; nothing was committed."""
+
+
 class SnapshotStore:
-    """Tables on any file system that Spark reads: commits write a new snapshot folder, then move a pointer to it.
+    """Tables on any file system that Spark reads: a commit writes the tables that changed, then a numbered pointer to all.
 
-    A reader resolves the pointer once; a writer that dies leaves the old one.
+    The pointer of version n + 1 is made by an exclusive rename, so of two writers one wins; the other commits on top of it,
+    or fails with Conflict where a table that it read is no longer the one it read. (The rename must not replace a file: so
+    on HDFS and its like, not on bare object stores.) A writer that dies leaves the last pointer; CURRENT only tells readers
+    where to start looking for it.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -236,42 +244,74 @@ class SnapshotStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def current(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/CURRENT")
+    def _pointer(self, name: str) -> dict | None:
+        fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
             return None
-        state = json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+        stream = fs.open(p)
+        try:
+            state = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
         if state["schema_version"] > SCHEMA_VERSION:
             raise ValueError(f"store has schema {state['schema_version']}, newer than {SCHEMA_VERSION}")
-        return state["snapshot"]
+        return state
 
-    def read(self, name: str) -> DataFrame:
-        at = self.current()
-        if at is None:
-            raise FileNotFoundError(f"no snapshot in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{at}/{name}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Write all tables, then the pointer. Tables that are left out are carried on from the last snapshot."""
-        old, new = self.current(), f"snap-{uuid.uuid4().hex}"
-        if old is not None:
-            fs, p = self._fs(f"{self.root}/{old}")
-            for s in fs.listStatus(p):
-                name = s.getPath().getName()
-                if name not in tables and not name.startswith("_"):
-                    tables[name] = self.spark.read.parquet(f"{self.root}/{old}/{name}")
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{new}/{name}")
-        fs, temp = self._fs(f"{self.root}/CURRENT.{new}")
+    def _publish(self, state: dict, name: str, replace: bool) -> bool:
+        """Write a pointer under a name of its own, then rename it; False where it may not replace one that is there."""
+        fs, temp = self._fs(f"{self.root}/{name}.{uuid.uuid4().hex}")
         stream = fs.create(temp, True)
-        stream.write(bytearray(json.dumps({"snapshot": new, "schema_version": SCHEMA_VERSION}).encode()))
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        _, final = self._fs(f"{self.root}/CURRENT")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration())
-        modes = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        modes[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temp, final, modes)
-        return new
+        jvm, (_, final) = self.spark._jvm, self._fs(f"{self.root}/{name}")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration())
+        modes = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, int(replace))
+        if replace:
+            modes[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        try:
+            context.rename(temp, final, modes)
+        except Py4JJavaError:
+            if replace or not fs.exists(final):
+                raise
+            fs.delete(temp, False)
+            return False
+        return True
+
+    def _state(self) -> dict | None:
+        state = self._pointer("CURRENT")
+        while (later := self._pointer(f"pointer-{(state or {}).get('version', 0) + 1}")) is not None:
+            state = later
+        return state
+
+    def current(self) -> int | None:
+        """The version of the last commit, None in an empty store."""
+        state = self._state()
+        return state["version"] if state else None
+
+    def paths(self) -> dict[str, str]:
+        """Where each table lies now: what a commit says it has read."""
+        return (self._state() or {"tables": {}})["tables"]
+
+    def read(self, name: str) -> DataFrame:
+        tables = self.paths()
+        if name not in tables:
+            raise FileNotFoundError(f"no table {name} in {self.root}")
+        return self.spark.read.parquet(f"{self.root}/{tables[name]}")
+
+    def commit(self, tables: dict[str, DataFrame], read: dict[str, str] | None = None) -> int:
+        """Write `tables`, then the pointer; all others stay where they are. read: paths() of what the tables were made from."""
+        read = {k: v for k, v in self.paths().items() if k in tables} if read is None else read
+        made = {name: f"{name}-{uuid.uuid4().hex}" for name in tables}
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/{made[name]}")
+        while True:
+            now = self._state() or {"version": 0, "tables": {}}
+            if changed := sorted(name for name, path in read.items() if now["tables"].get(name) != path):
+                raise Conflict(f"changed by another writer: {', '.join(changed)}")
+            state = {"version": now["version"] + 1, "schema_version": SCHEMA_VERSION, "tables": now["tables"] | made}
+            if self._publish(state, f"pointer-{state['version']}", replace=False):
+                self._publish(state, "CURRENT", replace=True)
+                return state["version"]
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

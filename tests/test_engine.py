@@ -1,10 +1,13 @@
 import json
+import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from loam import engine as E
-from loam.operators import control
+from loam.operators import audit, control, store, vectors
+from loam.session import LIMITS
 
 HOUR = 3_600_000
 
@@ -13,6 +16,7 @@ def transcript(path, session, *texts, cwd="/w"):
     rows = [{"type": "session", "id": session, "cwd": cwd}, *({"type": "message", "message": {"role": "user", "content": t}} for t in texts)]
     path.parent.mkdir(exist_ok=True)
     path.write_text("\n".join(map(json.dumps, rows)))
+    os.utime(path, (1_700_000_000, 1_700_000_000))  # runs take the newest first: files of one test are of one age, whatever the clock
 
 
 def extract(text, problem):
@@ -96,3 +100,91 @@ def test_state(spark):
 def test_commands():
     assert E.command("") == ("status", "") and E.command(" LIST two words ") == ("list", "two words")
     E.trace("x", what=object())
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    s = store.SnapshotStore(spark, str(tmp_path / "s"))
+    assert s.commit({"a": spark.range(1), "b": spark.range(1)}) == 1
+    read = s.paths()
+    assert s.commit({"a": spark.range(2)}, {"a": read["a"]}) == 2
+    with pytest.raises(store.Conflict, match="a"):
+        s.commit({"a": spark.range(3)}, {"a": read["a"]})
+    assert s.commit({"b": spark.range(4)}, {"b": read["b"]}) == 3  # a table that nobody else changed
+    assert s.read("a").count() == 2 and s.read("b").count() == 4 and s.paths()["a"] != read["a"]
+    assert not s._publish({"version": 3, "schema_version": 1, "tables": {}}, "pointer-3", replace=False)
+    (tmp_path / "s" / "CURRENT").unlink()  # as after a writer that died before it moved it
+    (tmp_path / "s" / ".CURRENT.crc").unlink(missing_ok=True)
+    assert s.current() == 3
+    with pytest.raises(FileNotFoundError):
+        s.read("c")
+
+
+def test_a_run_commits_only_under_its_claim(spark, tmp_path):
+    inbox = tmp_path / "in"
+    transcript(inbox / "a.jsonl", "s1", "prefer tabs")
+    e = E.Engine(spark, str(tmp_path / "root"), "w")
+
+    def mine(between):
+        real, run = e._mined, {}
+
+        def mined(run_id, *args):
+            out = real(run_id, *args)
+            between(run_id)
+            return out
+
+        e._mined = mined
+        try:
+            run = e.dream(str(inbox), "/w", extract, decide, 10 * HOUR)
+        finally:
+            del e._mined
+        return run
+
+    def rival(run_id):
+        runs = control.acquire(e.table("runs"), spark.createDataFrame([("w", "rival")], "workspace_id string, run_id string"), 20 * HOUR)
+        e.store.commit({"runs": e._kept(runs, "rival")})
+
+    with pytest.raises(store.Conflict, match="lost its claim"):
+        mine(rival)
+    assert e.list().count() == 0 and {r.run_id[-5:]: r.status for r in e.table("runs").collect()}["rival"] == "claimed"
+    assert e.dream(str(inbox), "/w", extract, decide, 20 * HOUR) is None
+    e.store.commit({"runs": e._kept(control.finish(e.table("runs"), "rival", "failed", 21 * HOUR), "ended")})
+    assert mine(lambda run_id: e.settled(1))["operations"] == 1 and e.table("state").first().generation == 1
+    transcript(inbox / "b.jsonl", "s2", "prefer spaces")
+    with pytest.raises(store.Conflict, match="log"):
+        mine(lambda run_id: e.forget(1))
+    assert audit.one(e.table("memories"), 1).first().state == "retired" and e.table("runs").filter("status in ('claimed', 'running')").isEmpty()
+    assert [r.memory_id for r in audit.every(e.table("memories")).collect()] == [1] and audit.one(e.table("memories"), 2).isEmpty()
+
+
+def test_a_run_ends_with_its_time(spark, tmp_path):
+    inbox = tmp_path / "in"
+    transcript(inbox / "a.jsonl", "s1", "prefer tabs")
+    e = E.Engine(spark, str(tmp_path / "root"), "w", limits=replace(LIMITS, run_minutes=0))
+    run = e.dream(str(inbox), "/w", extract, decide, 10 * HOUR)
+    assert (run["sessions"], run["operations"], run["error"]) == (0, 0, None) and e.table("checkpoints").isEmpty()
+    for _ in range(9):
+        assert not e.settled(50 * HOUR)
+    assert e.settled(50 * HOUR, True, str(inbox), "/w") and not e.settled(50 * HOUR, True, str(inbox), "/elsewhere")
+    e.limits = LIMITS
+    assert e.dream(str(inbox), "/w", extract, decide, 60 * HOUR)["sessions"] == 1
+    for _ in range(9):
+        e.settled(90 * HOUR)
+    assert e.settled(90 * HOUR) and not e.settled(90 * HOUR, True, str(inbox), "/w")
+    with pytest.raises(ValueError):
+        e.pause()
+
+
+def test_an_embedder_that_fails_keeps_what_was_done(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "node_id long, text string").coalesce(1)
+    old = spark.createDataFrame([(2, "m", "old", [1.0]), (9, "other", "x", [1.0])], E.EMBEDDINGS)
+
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("too long")
+        return [[1.0] for _ in texts]
+
+    made = vectors.tried(vectors.stale(docs, old, "m").coalesce(1).sortWithinPartitions("node_id"), embed)
+    assert [(r.node_id, r.error) for r in made.collect()] == [(1, None), (2, "too long")]
+    after = vectors.merged(docs, old, made, "m")
+    assert sorted((r.node_id, r.model_id) for r in after.collect()) == [(1, "m"), (9, "other")]
+    assert sorted(r.node_id for r in vectors.stale(docs, after, "m").collect()) == [2, 3]
