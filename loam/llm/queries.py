@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import html_text, language_id, line_dedup, media, mixing, sentencepiece_codec, sharding, simhash, topk, toxicity
+from loam.llm import decontamination, divergence, html_text, language_id, line_dedup, media, mixing, sentencepiece_codec, sharding, simhash, topk, toxicity, vector_codes
 from loam.llm.common import table
 
 
@@ -57,8 +57,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        F.col("__n_hit").alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("__n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_html_text, op4_simhash, op5_mixing, op6_topk, op7_line_dedup, op8_language_id, op9_media, op10_sharding)
+    f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_html_text, op4_simhash, op5_mixing, op6_topk, op7_line_dedup, op8_language_id, op9_media, op10_sharding, op11_vector_codes, op12_decontamination, op13_divergence)
 }
 
 
@@ -106,6 +127,21 @@ def _container() -> str:
     return f"'00000018{x('ftyp')}{x('qt  ')}00000000{x('qt  isom')}' || {moov} || {_u32('8 + 192 * n')} || '{x('mdat')}'"
 
 
+def _lower(text: str) -> str:
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _round(k: int) -> str:
+    """SQL: round k of the codebooks: each part's nearest entry, then the entries' floored means."""
+    return f"""
+        near{k} AS MATERIALIZED (
+            SELECT r, p, CAST(arg_min(e, (d, e)) AS BIGINT) AS e, CAST(min(d) AS BIGINT) AS d
+            FROM (SELECT a.r, a.p, b.e, a.xx - 2 * list_inner_product(a.x, b.x) + list_inner_product(b.x, b.x) AS d FROM parts a JOIN book{k} b ON a.p = b.p) GROUP BY r, p),
+        sums{k} AS (SELECT p, e, i, sum(CAST(x AS BIGINT)) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM near{k} JOIN parts USING (r, p)) GROUP BY p, e, i),
+        means{k} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS x FROM sums{k} GROUP BY p, e),
+        book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.e = m.e)"""
+
+
 _SPACE = r"\x20\x09-\x0D"
 ORACLE_SQL: dict[str, str] = {
     # Of sources one document each belongs to, the cheapest flow takes the target in whole passes and a rest. Capped sources
@@ -174,4 +210,56 @@ ORACLE_SQL: dict[str, str] = {
                       {_crc32(_bytes('packed'))}) AS feature,
                CAST(NULL AS VARCHAR) AS media_error, list_aggregate([printf('%d-%d', a, a + 192) FOR a IN starts], 'string_agg', ',') AS keyframe_ranges
         FROM ranged""",
+    # Integers stand in doubles, which hold them exactly at these sizes. Of one length that four divides.
+    "op11_vector_codes": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v, len(embedding) // 4 AS w
+            FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+        parts AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM (SELECT r, p, v[p * w + 1:(p + 1) * w] AS x FROM kept, range(4) t(p))),
+        book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM parts WHERE r <= 256),
+        {",".join(_round(k) for k in range(5))},
+        coded AS (
+            SELECT k.vec_id, k.label, c.code, c.error
+            FROM kept k JOIN (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near4 GROUP BY r) c ON k.r = c.r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) FROM (SELECT p, e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM book4)) AS codebooks_sha256
+        FROM coded""",
+    "op12_decontamination": rf"""
+        WITH docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(10, len(w)) AS k
+            FROM (SELECT item_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS MATERIALIZED (
+            SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+        grams AS (
+            SELECT d, k, i, array_to_string(w[i:i + k - 1], ' ') AS t
+            FROM (SELECT d, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+        hits AS MATERIALIZED (SELECT d, k, i, t FROM grams WHERE (k, t) IN (SELECT (k, t) FROM windows)),
+        hit AS (SELECT d, count(DISTINCT place) AS n FROM (SELECT d, unnest(range(i, i + k)) AS place FROM hits) GROUP BY d),
+        found AS (
+            SELECT d, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+            FROM (SELECT DISTINCT h.d, w.item_id FROM hits h JOIN windows w ON h.k = w.k AND h.t = w.t) GROUP BY d)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items, sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit h ON docs.d = h.d LEFT JOIN found f ON docs.d = f.d""",
+    "op13_divergence": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        counts AS MATERIALIZED (SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, {_lower("unnest(w)")} AS term FROM docs) GROUP BY ALL),
+        kept AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY lang, term HAVING count(*) >= 10),
+        sizes AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        held AS MATERIALIZED (SELECT c.lang, c.source, c.term, CAST(sum(c.n) AS BIGINT) AS n FROM counts c JOIN kept k ON c.lang = k.lang AND c.term = k.term GROUP BY ALL),
+        sums AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM held GROUP BY ALL),
+        p AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, 1 + (1000000000 * (coalesce(h.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * z.v) AS p, 1 + (1000000000 * (k.n + 2)) // (z.n + 2 * z.v) AS q
+            FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes z ON g.lang = z.lang LEFT JOIN sums s ON g.lang = s.lang AND g.source = s.source
+            LEFT JOIN held h ON g.lang = h.lang AND g.source = h.source AND k.term = h.term),
+        gaps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+            FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN gaps x ON x.lang = g.lang AND x.source = g.source AND x.item = o.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
