@@ -93,14 +93,15 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, hot: list, how: str = "
     return rest.unionByName(left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how))
 
 
-HOT_KEYS = 1000  #: a key with more than one row in HOT_KEYS is hot; so there are no more hot keys than that
+HOT_KEYS = 1000  #: a key with more than one row in HOT_KEYS, or in two a shuffle partition, is hot; so there are no more hot keys than that
 
 
 def hot_keys(counts: DataFrame, on: str, n: str = "n") -> list:
-    """The keys of (on, n) that hold more than a HOT_KEYS-th of the sum of n, and over HOT_ROWS rows."""
+    """The keys of (on, n) that hold more than a HOT_KEYS-th of the sum of n (of more partitions, half of a partition's even share), and over HOT_ROWS rows."""
+    share = max(HOT_KEYS, 2 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total, most = counts.agg(F.sum(n), F.max(n)).first()
-    least = max(HOT_ROWS, (total or 0) / HOT_KEYS)
-    return [r[0] for r in counts.filter(F.col(n) > least).select(on).collect()] if (most or 0) > least else []  # HOT_KEYS keys at most
+    least = max(HOT_ROWS, (total or 0) / share)
+    return [r[0] for r in counts.filter(F.col(n) > least).select(on).collect()] if (most or 0) > least else []  # `share` keys at most
 
 
 def held_out(doc_id: Column) -> Column:

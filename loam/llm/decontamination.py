@@ -42,7 +42,8 @@ MATCH = "item_id string, position long, length long, doc_id long, doc_position l
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
-    """The places of an array of numbers (>= 0) in the order of the suffixes that begin there, compared by `depth` numbers at least.
+    """The places of an array of numbers (>= 0) in the order of the suffixes that begin there, compared by `depth` numbers at least; beyond the end they
+    go on with zeros.
 
     The first sort packs several words into a key; each further one doubles the words, and takes only suffixes still tied.
     """

@@ -2,7 +2,7 @@
 
 The network reads windows of a text's UTF-8 bytes from both sides, gives every position a distribution over languages,
 and a document's score is the mean of its positions' distributions over the whole text. It is trained here, in numpy,
-by backpropagation through time on a bounded sample: DOCS documents a language, WINDOWS windows of each.
+by backpropagation through time on a bounded sample: DOCS documents a language and SAMPLE in all, WINDOWS windows of each.
 
 Edge cases: a null text, or one without a letter (Unicode's category L), is `und` with score 0; with no labelled row to learn from every text
 is `und`; a null lang is not learned from; a null doc_id counts as the empty text when rows are held out; repeated rows
@@ -24,7 +24,7 @@ from loam.llm.common import held_out, rows_of, steps
 
 DOCS = 300  #: bound of the sample: labelled documents a language
 WINDOWS = 6  #: and windows of each of them, spread evenly from its beginning to its end
-LANGUAGES = 1000  #: values of lang at most; more are an error
+SAMPLE = 60_000  #: bound of the sample over all languages, which take turns
 WINDOW = 64  #: bytes that the network reads at a time
 HIDDEN = 8
 STEPS = 220
@@ -166,17 +166,21 @@ def document_scores(m: Model, texts: list[str]) -> np.ndarray:
 
 
 def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """Windows of at most DOCS labelled documents a language, spread evenly over each whole text; never of held-out rows."""
+    """Windows of at most DOCS labelled documents a language, spread evenly over each whole text; never of held-out rows.
+
+    Of rows that share an id and a language that with the least hash of its text counts. Of more languages than SAMPLE allows DOCS
+    documents of, each gives its first before any gives its second, and so on.
+    """
     spark = docs.sparkSession
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= DOCS).select("doc_id").distinct().limit(DOCS * LANGUAGES + 1).collect()  # DOCS ids a language at most
-    if len(chosen) > DOCS * LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    ids = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long").coalesce(1))
+    first = known.select("lang", "doc_id").distinct().withColumn("rank", rank).filter(F.col("rank") <= DOCS)
+    chosen = first.orderBy("rank", F.xxhash64("doc_id"), "doc_id", "lang").limit(SAMPLE).collect()
+    ids = F.broadcast(spark.createDataFrame([(r.lang, r.doc_id) for r in chosen], "lang string, doc_id long").coalesce(1))  # SAMPLE rows at most
     step = F.greatest(F.lit(1), F.floor(F.length("text") / WINDOWS))
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring("text", (k * step + 1).cast("int"), F.lit(WINDOW)))
-    rows = known.join(ids, "doc_id", "left_semi").select("lang", "doc_id", F.filter(F.array_distinct(places), lambda w: w != "").alias("windows")).collect()
+    rows = known.join(ids, ["lang", "doc_id"], "left_semi").select("lang", "doc_id", F.xxhash64("text").alias("hash"), F.filter(F.array_distinct(places), lambda w: w != "").alias("windows"))
+    rows = rows.groupBy("lang", "doc_id").agg(F.min(F.struct("hash", "windows")).alias("x")).select("lang", "doc_id", "x.windows").collect()  # SAMPLE rows at most
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.windows))
     return [(w.encode(), r.lang) for r in rows for w in r.windows if LETTER.search(w)]
 

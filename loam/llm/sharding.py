@@ -6,7 +6,7 @@ search finds the smallest capacity for which greedy filling needs no more than t
 then set within that capacity, as near to even shares of what is left as the atoms allow.
 
 Slots are numbered from counts: a cell's rows start where the rows of the cells before it in its shard end. A cell with
-many rows (a hot text) is dealt into parts by doc_id, so that no task numbers an unbounded group.
+many rows (a hot text) is dealt into parts by doc_id, rows without one by a number of their own, so that no task numbers an unbounded group.
 
 Law `bytes`: sizes are as near to equal as atoms allow. grown_shard is null under it.
 
@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.llm.common import written
+
 SHARDS = 16
 CELLS = 1 << 16
 PART_ROWS = 20_000  #: rows of a cell that are numbered in one group, about
@@ -75,7 +77,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, n_cells: int = CELLS, part_rows
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(n_cells)).cast("int").alias("cell"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(n_cells)).cast("int").alias("cell"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "shard-rows")
     found = rows.groupBy("cell").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # n_cells rows at most
     order = order_of([(r["cell"], r["size"]) for r in found], shards)
     size, count = ({r["cell"]: r[k] for r in found} for k in ("size", "n"))
@@ -85,7 +88,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, n_cells: int = CELLS, part_rows
         for c in order[at[s] : at[s + 1]]:
             plan.append((c, s, len(plan), max(1, -(-count[c] // part_rows))))
     cells = F.broadcast(spark.createDataFrame(plan, "cell int, shard int, place int, parts int").coalesce(1))  # n_cells rows at most
-    placed = rows.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
+    placed = rows.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.col("parts")).cast("int")).drop("parts")
     starts = placed.groupBy("shard", "place", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("place", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("place", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -170,7 +170,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     # One row of sizes each, however large the table is.
     n_shards = max(1, -(-(candidates.agg(F.sum("n")).first()[0] or 0) // SHARD))
     n_tiles = max(1, -(-(queries.agg(F.sum("n")).first()[0] or 0) // TILE))
-    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")  # noqa: E731  of a block's partition and place
     left = queries.withColumn("tile", dealt(n_tiles)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     right = candidates.withColumn("shard", dealt(n_shards)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))))
 

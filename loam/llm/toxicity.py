@@ -126,16 +126,18 @@ def entries(folded: str) -> set[str]:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the sample: the labelled ids that come first in a hash order, DOCS of either label; copies count once."""
+    """text, toxic of the sample: the labelled ids that come first in a hash order, DOCS of either label; of rows that share an id
+    that with the least hash of its text counts, and of equal texts one. So the sample has 2 * DOCS rows at most."""
     spark = docs.sparkSession
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     order = (F.xxhash64("doc_id"), "doc_id")
     ids = [r for t in (0, 1) for r in known.filter(F.col("toxic") == t).distinct().orderBy(*order).limit(DOCS).collect()]
     chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int").coalesce(1))  # 2 * DOCS rows at most
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x")  # combined before the shuffle, however often an id repeats
+    rows = written(rows.groupBy("doc_id", "toxic").agg(least).select("doc_id", "toxic", "x.*"), "toxic-rows")
     once = F.row_number().over(Window.partitionBy("hash", "toxic").orderBy("doc_id"))
-    first = rows.select("doc_id", "toxic", F.xxhash64("text").alias("hash")).withColumn("n", once).filter("n = 1").select("doc_id", "toxic")
-    return rows.join(F.broadcast(first), ["doc_id", "toxic"]).select("text", "toxic")  # as many rows as the sample at most
+    return rows.withColumn("n", once).filter("n = 1").select("text", "toxic")
 
 
 def _floor(clean: int, toxic: int) -> float:

@@ -346,3 +346,19 @@ def test_scores_of_held_out_documents(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, lexicon).count() == 0
     assert toxicity.learn(no_docs, labels).words == {} and toxicity.learn(docs, labels.limit(0)).words == {}
     assert toxicity.score(odd_docs, toxicity.Lexicon()).first().score == 0
+
+
+def test_samples_are_bounded_whatever_repeats(spark, monkeypatch):
+    texts = [f"wort {k} eins zwei drei" for k in range(300)]
+    docs = spark.createDataFrame([(6, t, "de") for t in texts] + [(k, f"text number {k} of many", f"l{k % 40}") for k in range(100, 180)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(6, 1), (6, 0), *((k, k % 2) for k in range(100, 180))], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "DOCS", 10)
+    rows = toxicity._sampled(docs, labels.filter("doc_id = 6")).collect()
+    assert len(rows) == 2 and rows[0].text == rows[1].text
+    assert len(toxicity._sampled(docs, labels).collect()) <= 20
+    monkeypatch.setattr(language_id, "DOCS", 60)
+    found = language_id.sample(docs)
+    assert len([1 for _, lang in found if lang == "de"]) <= language_id.WINDOWS and len({lang for _, lang in found}) > 25
+    monkeypatch.setattr(language_id, "SAMPLE", 25)  # fewer than there are languages: each of those that are taken gives one document
+    few = language_id.sample(docs)
+    assert len(few) <= 25 * language_id.WINDOWS and len({lang for _, lang in few}) == 25

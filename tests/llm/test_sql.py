@@ -8,7 +8,7 @@ import pytest
 from loam.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings")
+TABLES = ("documents", "embeddings", "benchmark")
 
 
 def plain(v):
@@ -21,7 +21,7 @@ def agree(spark, name, folder):
     got = sorted(repr([plain(r[c]) for c in names]) for r in df.collect())
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF if t == 'embeddings' else folder}/{t}.parquet{'' if folder == SF or t == 'embeddings' else '/*.parquet'}')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder if t == "documents" else SF}/{t}.parquet{'' if folder == SF or t != "documents" else '/*.parquet'}')")
     c = con.execute(queries.ORACLE_SQL[name])
     columns = [x[0] for x in c.description]
     assert sorted(columns) == names
