@@ -19,14 +19,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.operators import audit, budgets, control, mining, retrieval, store, synthesis, vectors
+from loam.operators import audit, budgets, control, index, mining, retrieval, store, synthesis, vectors
 from loam.session import LIMITS, Limits
 from loam.sources import config, manifest, transcripts
 
 CHECKPOINTS = "session_id string, path string, cwd string, mtime_ms long, content_hash string, offset long, total long"
+DIAGNOSTICS = "run_id string, step string, at_ms long, name string, value long"
 CITATIONS = "request_id string, memory_id long, source string, at_ms long"
 EMBEDDINGS = "node_id long, model_id string, content_hash string, vector array<float>"
-TABLES = {"log": store.LOG, "memories": store.MEMORIES, "versions": store.VERSIONS, "checkpoints": CHECKPOINTS, "citations": CITATIONS, "embeddings": EMBEDDINGS, "runs": control.RUNS}
+SEQ = ", seq long"
+#: Tables of the workspace; those of KEYS are appended to, and the last row of a key (by seq) counts.
+TABLES = {"log": store.LOG, **store.STATE, "postings": index.POSTINGS, "index_stats": index.STATS, "checkpoints": CHECKPOINTS + SEQ, "citations": CITATIONS, "embeddings": EMBEDDINGS, "runs": control.RUNS + SEQ, "state": control.STATE, "diagnostics": DIAGNOSTICS}
+KEYS = {"memories": ("workspace_id", "memory_id"), "checkpoints": ("session_id",), "runs": ("run_id",)}
+HOUR_MS = 3_600_000
 COMMANDS = ("status", "list", "open", "dream", "pause", "resume", "forget")  # fixed values
 
 log = logging.getLogger("loam")
@@ -60,9 +65,29 @@ class Engine:
         if self.store.current() is None:
             empty = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
             self.store.commit({**empty, "state": control.new_state(spark, workspace_id)})
+        else:
+            self.store.open(TABLES)
 
     def table(self, name: str) -> DataFrame:
-        return self.store.read(name)
+        """A table as it is now."""
+        rows = self.store.read(name)
+        return store.latest(rows, *KEYS[name]).drop("seq") if name in KEYS else rows
+
+    def _changed(self, name: str, after: DataFrame) -> DataFrame:
+        """What to append to a table of KEYS so that it is `after`: the rows that are new or differ."""
+        return after.exceptAll(self.table(name).select(after.columns)).withColumn("seq", F.lit(self.store.current()).cast("long"))
+
+    def maintain(self, grace_ms: int = HOUR_MS) -> int:
+        """Compact tables of many parts and delete what no reader can hold any more; the number of deletions. Commits call it now and then."""
+        for name, keys in KEYS.items():
+            self.store.compact(name, lambda df, keys=keys: store.latest(df, *keys).select(df.columns))
+        for name in ("log", "versions", "citations", "index_stats", "diagnostics"):
+            self.store.compact(name)
+        for name, keys in (("marks", ("workspace_id", "session_id")), ("heads", ("workspace_id",))):
+            self.store.compact(name, lambda df, keys=keys: store.latest(df, *keys).select(df.columns))
+        self.store.compact("postings", lambda df: index.compacted(df, self.table("index_stats")))
+        store.delete_older(self.spark, f"{self.root}/steps", grace_ms)
+        return self.store.sweep(grace_ms)
 
     def config(self) -> config.Config:
         return config.load(self.config_path) if self.config_path else config.Config()
@@ -88,9 +113,18 @@ class Engine:
             return False
         read = self.store.paths()
         row = (self.workspace, self._next_commit(), 0, None, None, 0, None, None, 0, store.BY_HAND, None, memory_id, None, None)
-        self._commit_log(self.table("log").unionByName(self.spark.createDataFrame([row], store.LOG)), {}, read)
+        rows = self.spark.createDataFrame([row], store.LOG)
+        self._commit_log(rows, self._folded(rows), {}, {}, read)
         return True
 
+    def every(self) -> DataFrame:
+        """Memories of all states, in the order of their ids."""
+        return audit.every(self.table("memories"))
+
+    def one(self, memory_id: int) -> DataFrame:
+        """The memory of an id, whatever its state."""
+        return audit.one(self.table("memories"), memory_id)
+
     def pause(self) -> config.Config:
         return self._paused(True)
 
@@ -137,7 +171,13 @@ class Engine:
             row = control.unreported(runs).filter("place = 1").select("run_id").first()
             try:
                 if row:
-                    self.store.commit({"runs": control.report_next(runs)}, {"runs": read["runs"]})
+                    told = runs.filter(F.col("run_id") == row["run_id"]).first()
+                    state, changed = self.table("state"), self._changed("runs", control.report_next(runs))
+                    if told["status"] == "completed":  # the cadence starts anew in the same commit
+                        newest = self.table("checkpoints").agg(F.max("mtime_ms")).first()[0]
+                        self.store.commit({"state": control.succeeded(state, told["finished_ms"], newest)}, {k: read[k] for k in ("runs", "state")}, {"runs": changed})
+                    else:
+                        self.store.commit({}, {"runs": read["runs"]}, {"runs": changed})
                 return row["run_id"] if row else None
             except store.Conflict:  # another caller may have told of this run
                 continue
@@ -151,10 +191,11 @@ class Engine:
         """queries (query_id long, text): what retrieval finds among the active memories, in order."""
         limits = limits or self.limits
         memories = self.table("memories").withColumnRenamed("memory_id", "node_id")
+        indexed = self.table("postings"), self.table("index_stats")
         if not self.embed or self.table("embeddings").filter(F.col("model_id") == self.model_id).isEmpty():
-            return retrieval.retrieve(memories, queries, limits=limits)
+            return retrieval.retrieve(memories, queries, limits=limits, indexed=indexed)
         asked = retrieval.segmented(queries, limits.query_segment_chars)
-        return retrieval.retrieve(memories, queries, self.table("embeddings").filter(F.col("model_id") == self.model_id), self._vectors(asked), limits)
+        return retrieval.retrieve(memories, queries, self.table("embeddings").filter(F.col("model_id") == self.model_id), self._vectors(asked), limits, indexed)
 
     def _vectors(self, segments: DataFrame) -> DataFrame:
         embed = self.embed
@@ -193,12 +234,17 @@ class Engine:
         checked = synthesis.revalidated(found, shown.select(F.lit(request_id).alias("request_id"), F.col("node_id").alias("memory_id"), "text"), self.table("memories"))
         result = checked.first().asDict()
         trace(purpose, request_id=request_id, error=result["error"], calls=result["calls"])
-        changes = {"state": control.patched(self.table("state"), recall_error=result["detail"] if result["error"] == "provider_context_insufficient" else None)}
+        more = {}
         if result["error"] is None and result["sources"]:
-            cited = synthesis.citations(self.spark.createDataFrame([result], checked.schema)).withColumn("at_ms", F.lit(now_ms).cast("long"))
-            changes["citations"] = self.table("citations").unionByName(cited)
-        self.store.commit(changes)
-        return result
+            more["citations"] = synthesis.citations(self.spark.createDataFrame([result], checked.schema)).withColumn("at_ms", F.lit(now_ms).cast("long"))
+        detail = result["detail"] if result["error"] == "provider_context_insufficient" else None
+        while True:  # the answer is paid for: what others committed meanwhile is kept, and this goes on top
+            read, state = self.store.paths(), self.table("state")
+            try:
+                self.store.commit({"state": control.patched(state, recall_error=detail)}, {"state": read["state"]}, more)
+                return result
+            except store.Conflict:
+                continue
 
     def search(self, query: str, complete: Callable[[str, str], str], now_ms: int, window: int | None = None, most_output: int | None = None) -> dict:
         """Answer a question from memory: content, sources and error. A greeting finds nothing and asks no model."""
@@ -232,30 +278,45 @@ class Engine:
         if runs.filter(F.col("run_id") == run_id).isEmpty():
             return None
         try:
-            self.store.commit({"runs": control.start(runs, run_id)}, {"runs": read["runs"]})
+            self.store.commit({}, {"runs": read["runs"]}, {"runs": self._changed("runs", control.start(runs, run_id))})
         except store.Conflict:
             return None
         try:
             read = self.store.paths()
-            changes, result = self._mined(run_id, sessions, cwd, extract, decide, began + 60 * self.limits.run_minutes)
+            changes, more, folded, result = self._mined(run_id, sessions, cwd, extract, decide, began + 60 * self.limits.run_minutes)
             read |= {k: v for k, v in self.store.paths().items() if k in ("runs", "state")}  # these are read again below
             if not control.owns(self.table("runs"), run_id):
                 raise store.Conflict(f"run {run_id} lost its claim")
             ended = "failed" if result["error"] else "completed"
             runs = control.finish(self.table("runs"), run_id, ended, now_ms)
-            changes["runs"] = runs.withColumn("error", F.when(F.col("run_id") == run_id, F.lit(result["error"])).otherwise(F.col("error")))
+            more["runs"] = self._changed("runs", runs.withColumn("error", F.when(F.col("run_id") == run_id, F.lit(result["error"])).otherwise(F.col("error"))))
             state = control.failed(self.table("state"), now_ms) if result["error"] else control.succeeded(self.table("state"), now_ms, result["newest_mtime_ms"])
             changes["state"] = control.patched(state, embedding_error=result.pop("embedding_error"))
-            self._commit_log(changes.pop("log"), changes, read)
-        except Exception as e:
-            ended = control.finish(self.table("runs"), run_id, "failed", now_ms)
-            self.store.commit({"runs": ended.withColumn("error", F.when(F.col("run_id") == run_id, F.lit(str(e)[:400])).otherwise(F.col("error"))), "state": control.failed(self.table("state"), now_ms)})
-            trace("dream", run_id=run_id, error=str(e))
+            facts = [(run_id, "dream", now_ms, k, v) for k, v in result.items() if isinstance(v, int)]
+            more["diagnostics"] = self.spark.createDataFrame(facts, DIAGNOSTICS)
+            self._commit_log(more.pop("log"), folded, changes, more, read)
+        except BaseException as e:
+            self._failed(run_id, now_ms, str(e) or type(e).__name__)
             raise
+        if self.store.current() % store.PARTS == 0:
+            self.maintain()
         trace("dream", **result)
         return result
 
-    def _mined(self, run_id: str, sessions: str, cwd: str, extract: Callable, decide: Callable, until: float) -> tuple[dict[str, DataFrame], dict]:
+    def _failed(self, run_id: str, now_ms: int, error: str) -> None:
+        """End a run that raised: whatever else was committed meanwhile stays."""
+        while True:
+            read, runs = self.store.paths(), control.finish(self.table("runs"), run_id, "failed", now_ms)
+            ended = runs.withColumn("error", F.when((F.col("run_id") == run_id) & F.col("error").isNull(), F.lit(error[:400])).otherwise(F.col("error")))
+            try:
+                self.store.commit({"state": control.failed(self.table("state"), now_ms)}, {k: read[k] for k in ("runs", "state")}, {"runs": self._changed("runs", ended)})
+                break
+            except store.Conflict:
+                continue
+        trace("dream", run_id=run_id, error=error)
+
+    def _mined(self, run_id: str, sessions: str, cwd: str, extract: Callable, decide: Callable, until: float) -> tuple[dict[str, DataFrame], dict[str, DataFrame], store.Folded, dict]:
+        """What the run puts in place of tables, what it appends, the fold of its commits, and its counts."""
         limits, home = self.limits, f"{self.root}/runs/{run_id}"
         entries = manifest.snapshot(control.due(self._found(sessions, cwd), self.table("checkpoints"), most=limits.manifest_sessions), f"{home}/snapshot")
         manifest.save(entries, f"{home}/manifest")
@@ -281,7 +342,7 @@ class Engine:
         numbered = self._kept(sound.withColumn("query_id", F.row_number().over(Window.orderBy("session", "segment_no", "candidate_id")).cast("long")), "numbered")  # bounded by sessions and candidates of a run
         recalled = self.candidates(numbered.select("query_id", F.col("memory_text").alias("text")), replace(limits, retrieval_units=limits.recall_units))
         recalled = recalled.join(numbered.select("query_id", "session", "candidate_id"), "query_id").select("session", "candidate_id", (F.col("place") + 1).alias("rank"), "node_id", "text")
-        operations = self._kept(mining.consolidate(sound, recalled, decide, limits), "operations")
+        operations = self._kept(mining.consolidate(sound, recalled, decide, limits, until), "operations")
         wrong = operations.filter("error is not null").join(marks, "session").agg(F.min("session_order").alias("at"), F.min_by("error", "session_order").alias("error")).first()
         go = F.lit(True) if wrong["at"] is None else F.col("session_order") < wrong["at"]
         ends = mined.filter(go).groupBy("session").agg(F.max("end_index").cast("long").alias("offset"), F.sum("chars").alias("chars"), F.count("*").alias("segments"))
@@ -297,25 +358,27 @@ class Engine:
         generation = self.table("state").first()["generation"]
         rows = operations.filter("error is null").join(of, "session").withColumns({"workspace_id": F.lit(self.workspace), "generation": F.lit(generation).cast("long")})
         columns = [c.split()[0] for c in store.LOG.split(", ")]
-        added = self._kept(self.table("log").unionByName(rows.select(columns)), "log")
-        refused = self._kept(store.rejected(added), "rejected").filter(F.col("commit_seq") >= F.lit(self._next_commit()))
+        added = self._kept(rows.select(columns), "log")
+        folded = self._folded(added)
+        refused = folded.rejected
         fine = named.join(refused.select("commit_seq"), "commit_seq", "left_anti")
         kept_log = added.join(refused.select("commit_seq"), "commit_seq", "left_anti").select(columns)
         marked = fine.select(F.col("session_id"), F.col("session").alias("path"), "cwd", "mtime_ms", "content_hash", "offset", "total")
-        checkpoints = store.upsert(self.table("checkpoints"), marked, ["session_id"])
         first_refused = refused.orderBy("commit_seq").first()
         counts = fine.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("segments"), F.lit(0)).alias("segments"), F.max("mtime_ms").alias("newest_mtime_ms")).first()
-        done = kept_log.filter(F.col("commit_seq") >= self._next_commit()).count()
+        done = kept_log.count()
         error = wrong["error"] or bad["error"] or (first_refused["error"] if first_refused else None)
         result = {"run_id": run_id, **counts.asDict(), "operations": done, "error": error, "embedding_error": None}
-        changes: dict[str, DataFrame] = {"log": kept_log, "checkpoints": checkpoints}
+        changes: dict[str, DataFrame] = {}
+        more = {"log": kept_log, "checkpoints": marked.withColumn("seq", F.lit(self.store.current()).cast("long"))}
         if self.embed:
             try:
-                changes["embeddings"], problem = self._embedded(store.fold(kept_log))
+                now = store.current(self.store.read("memories").unionByName(folded.changes()["memories"]))
+                changes["embeddings"], problem = self._embedded(now)
                 self.embedder, result["embedding_error"] = "failed" if problem else "ready", problem
             except Exception as e:  # an embedder that fails degrades search, it does not undo what was mined
                 self.embedder, result["embedding_error"] = "failed", str(e)[:400]
-        return changes, result
+        return changes, more, folded, result
 
     def _found(self, sessions: str, cwd: str | None) -> DataFrame:
         """The workspace's session files, with ids and hashes."""
@@ -335,10 +398,21 @@ class Engine:
     def _next_commit(self) -> int:
         return (self.table("log").agg(F.max("commit_seq")).first()[0] or 0) + 1
 
-    def _commit_log(self, rows: DataFrame, changes: dict[str, DataFrame], read: dict[str, str]) -> None:
-        rows = self._kept(rows, "log")
-        tables = {**changes, "log": rows, "memories": store.fold(rows), "versions": store.fold_versions(rows)}
-        self.store.commit(tables, {k: v for k, v in read.items() if k in tables})
+    def _folded(self, commits: DataFrame) -> store.Folded:
+        """New commits folded onto the store's state, written once: it costs what the commits touch."""
+        state = {name: self.store.read(name) for name in store.STATE}
+        return store.Folded(self._kept(store.fold_commits(commits, state).rows, "folded"))
+
+    def _commit_log(self, rows: DataFrame, folded: store.Folded, changes: dict[str, DataFrame], more: dict[str, DataFrame], read: dict[str, list[str]]) -> None:
+        """Append commits, what their fold changed, and the postings of the texts that came and went; `changes` are tables put in place of others."""
+        made, old = folded.changes(), self.store.read("memories")
+        touched = made["memories"].select("workspace_id", "memory_id")
+        active = lambda df: df.filter("state = 'active'").select(F.col("memory_id").alias("node_id"), "text")
+        before = store.current(old.join(touched, ["workspace_id", "memory_id"], "left_semi"))
+        postings, stats = index.changes(active(before), active(made["memories"]), (self.store.current() or 0) + 1, self.table("index_stats"))
+        append = {**more, "log": rows, **made, "postings": postings, "index_stats": stats}
+        tables = {*changes, *append} - {"diagnostics", "citations"}
+        self.store.commit(changes, {k: v for k, v in read.items() if k in tables}, append)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """Written below the workspace and read back: what a model said, or what several tables derive from, is computed once."""

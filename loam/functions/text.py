@@ -99,13 +99,13 @@ def public_id(n: Column) -> Column:
 
 def parse_id(x: Column) -> Column:
     """The number of an id M:n, null for anything else and for 0."""
-    n = F.regexp_extract(x, r"^M:(\d+)$", 1)
+    n = F.regexp_extract(trim_space(x), r"^M:(\d+)$", 1)
     n = F.when(n != "", n.try_cast("long"))
     return F.when(n > 0, n)
 
 
 def id_error(x: Column) -> Column:
-    return F.when(parse_id(x).isNotNull(), F.lit(None).cast("string")).when(x.rlike(r"^O:\d+$"), F.concat(F.lit("Observation ids are retired: "), x)).otherwise(F.concat(F.lit("Invalid memory id: "), F.coalesce(x, F.lit("null"))))
+    return F.when(parse_id(x).isNotNull(), F.lit(None).cast("string")).when(trim_space(x).rlike(r"^O:"), F.concat(F.lit("Observation ids are retired: "), x)).otherwise(F.concat(F.lit("Invalid memory id: "), F.coalesce(x, F.lit("null"))))
 
 
 def content_hash(x: Column, chars: int = 32) -> Column:
@@ -173,3 +173,9 @@ def json_object(x: Column, anywhere: bool = False) -> Column:
     inner = F.regexp_extract(trim_space(x), fence, 1)
     parsed = F.try_parse_json(F.when(inner != "", inner).otherwise(trim_space(x)))
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+
+
+def significant(x: Column, digits: int = 12) -> Column:
+    """A positive number rounded to so many significant digits."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(x)))
+    return F.rint(x * scale) / scale

@@ -123,8 +123,11 @@ def within_budget(segments: DataFrame, run_chars: int = LIMITS.run_chars, keys:
     return marked.filter(keep).withColumn("partial", F.coalesce(F.col("stop.session_order") == F.col("session_order"), F.lit(False))).drop("fits", "stop")
 
 
-def consolidate(candidates: DataFrame, recalled: DataFrame, complete: Callable[[str, str | None], str], limits: Limits = LIMITS) -> DataFrame:
-    """candidates and recalled (session, candidate_id, rank, node_id, text): each session's operations, from one prompt and one retry."""
+def consolidate(candidates: DataFrame, recalled: DataFrame, complete: Callable[[str, str | None], str], limits: Limits = LIMITS, until: float | None = None) -> DataFrame:
+    """candidates and recalled (session, candidate_id, rank, node_id, text): each session's operations, from one prompt and one retry.
+
+    until: the time from which on no call is begun; such a session's error is OUT_OF_TIME.
+    """
     hit = F.struct("rank", "node_id", F.left("text", F.lit(limits.recall_chars)).alias("text"))
     shown = recalled.filter(F.col("rank") <= limits.recall_shown).groupBy("session", "candidate_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     rows = candidates.filter("error is null").join(shown, ["session", "candidate_id"], "left")
@@ -143,7 +146,8 @@ def consolidate(candidates: DataFrame, recalled: DataFrame, complete: Callable[[
                 raise ValueError(f"operation {ops.index(None) + 1} is malformed")
             return ops
 
-        ops, error = _twice(lambda problem: complete("\n".join(parts), problem), read)
+        late = until is not None and time.time() >= until
+        ops, error = ([], OUT_OF_TIME) if late else _twice(lambda problem: complete("\n".join(parts), problem), read)
         out = [(session, k, o["op"], o["kind"], o["memory_id"], o["memory_text"], o["evidence_text"], None) for k, o in enumerate(ops)]
         return pd.DataFrame(out or [(session, 0, None, None, None, None, None, error)], columns=[c.split()[0] for c in OPERATIONS.split(", ")]).astype({"memory_id": "Int64"})
 

@@ -175,16 +175,16 @@ BM25 = f"""tokens AS (SELECT doc_id, {SEARCH_TERMS.format('text')} AS terms FROM
     exploded AS (SELECT doc_id, len(terms) AS doc_len, unnest(terms) AS term FROM tokens),
     postings AS (SELECT doc_id, doc_len, term, count(*) AS tf FROM exploded WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
     idf AS (SELECT term, CASE WHEN ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM postings, stats GROUP BY term, n_docs),
-    hits AS (SELECT a.query_id, a.segment_no, p.doc_id AS node_id, sum(a.times * i.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / s.avg_len))) AS score
-        FROM postings p JOIN idf i ON p.term = i.term JOIN asked a ON a.term = p.term, stats s GROUP BY ALL),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, segment_no ORDER BY round(score, 6) DESC, node_id) AS rank FROM hits)"""
+    hits AS (SELECT query_id, segment_no, doc_id AS node_id, sum(gain ORDER BY gain) AS score
+        FROM (SELECT a.query_id, a.segment_no, p.doc_id, a.times * i.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / s.avg_len)) AS gain FROM postings p JOIN idf i ON p.term = i.term JOIN asked a ON a.term = p.term, stats s) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, segment_no ORDER BY round(score * pow(10, 11 - floor(log10(score)))) / pow(10, 11 - floor(log10(score))) DESC, node_id) AS rank FROM hits)"""
 WHOLE = f"segments AS (SELECT query_id, 0 AS segment_no, text FROM {_ASKED})"
 
 
 @query(f"WITH {WHOLE}, {BM25} SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 100")
 def bm25_search(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    hits = lexical.bm25(docs, _searches(spark, d).withColumn("segment_no", F.lit(0)))
+    hits = lexical.bm25(docs, _searches(spark, d).withColumn("segment_no", F.lit(0)), most=100)
     return lexical.ranked(hits, most=100).select("query_id", "node_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -203,7 +203,7 @@ _PIECES = f"""pieces AS (SELECT query_id, unnest(list_filter([regexp_replace(s,
 def bm25_multi_segment(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
     parts = retrieval.segmented(_searches(spark, d))
-    return lexical.quota(lexical.ranked(lexical.bm25(docs, parts), most=600), most=600)
+    return lexical.quota(lexical.ranked(lexical.bm25(docs, parts, most=600), most=600), most=600)
 
 
 def _cosines(spark, d, floor):
@@ -244,7 +244,7 @@ FUSED = f"""{WHOLE}, {BM25}, {COSINES},
 
 def _fused(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    found = lexical.ranked(lexical.bm25(docs, _searches(spark, d).withColumn("segment_no", F.lit(0))), most=600)
+    found = lexical.ranked(lexical.bm25(docs, _searches(spark, d).withColumn("segment_no", F.lit(0)), most=600), most=600)
     return retrieval.fuse(found, vectors.ranked(_cosines(spark, d, 0.15)))
 
 

@@ -141,19 +141,19 @@ def test_a_run_commits_only_under_its_claim(spark, tmp_path):
 
     def rival(run_id):
         runs = control.acquire(e.table("runs"), spark.createDataFrame([("w", "rival")], "workspace_id string, run_id string"), 20 * HOUR)
-        e.store.commit({"runs": e._kept(runs, "rival")})
+        e.store.commit({}, append={"runs": e._kept(e._changed("runs", runs), "rival")})
 
     with pytest.raises(store.Conflict, match="lost its claim"):
         mine(rival)
     assert e.list().count() == 0 and {r.run_id[-5:]: r.status for r in e.table("runs").collect()}["rival"] == "claimed"
     assert e.dream(str(inbox), "/w", extract, decide, 20 * HOUR) is None
-    e.store.commit({"runs": e._kept(control.finish(e.table("runs"), "rival", "failed", 21 * HOUR), "ended")})
+    e.store.commit({}, append={"runs": e._kept(e._changed("runs", control.finish(e.table("runs"), "rival", "failed", 21 * HOUR)), "ended")})
     assert mine(lambda run_id: e.settled(1))["operations"] == 1 and e.table("state").first().generation == 1
     transcript(inbox / "b.jsonl", "s2", "prefer spaces")
     with pytest.raises(store.Conflict, match="log"):
         mine(lambda run_id: e.forget(1))
     assert audit.one(e.table("memories"), 1).first().state == "retired" and e.table("runs").filter("status in ('claimed', 'running')").isEmpty()
-    assert [r.memory_id for r in audit.every(e.table("memories")).collect()] == [1] and audit.one(e.table("memories"), 2).isEmpty()
+    assert [r.memory_id for r in e.every().collect()] == [1] and e.one(2).isEmpty()
 
 
 def test_a_run_ends_with_its_time(spark, tmp_path):

@@ -1,4 +1,7 @@
 import json
+import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +197,108 @@ def test_config(tmp_path):
         assert not config.load(path).enabled
     (tmp_path / "c.json").write_text('{"version": 1, "minTurns": 0, "minMinutes": 7.9}')
     assert (config.load(path).minTurns, config.load(path).minMinutes) == (10, 7)
+
+
+def random_log(seed, commits=60):
+    """A log of two workspaces whose commits merge, collide, fail and replay: rows of store.LOG."""
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(1, commits + 1):
+        ws, session = rng.choice(["w1", "w2"]), f"s{rng.randint(0, 5)}"
+        digest, total = rng.choice(["a", "b", None]), rng.choice([None, 0, 3])
+        if rng.random() < 0.1:
+            rows.append((ws, seq, 0, None, None, 0, None, None, 0, store.BY_HAND, None, rng.randint(1, 9), None, None))
+            continue
+        for n in range(rng.randint(1, 3)):
+            op = rng.choice(["create", "create", "update", "forget", "no_op"])
+            text = rng.choice(["A", " a", "B", "b  c", "B c", "d", "e"]) if op == "create" or op == "update" and rng.random() < 0.7 else None
+            rows.append((ws, seq, n, session, digest, rng.randint(1, 3), rng.choice([1, 3]), total, seq, op, "fact" if op == "create" else None, None if op in ("create", "no_op") else rng.randint(1, 6), text, "e"))
+    return rows
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+MEMORY = ("workspace_id", "memory_id", "kind", "state", "text", "normalized_text", "current_version_id", "recurrence", "retired_session")
+VERSION = ("workspace_id", "version_id", "memory_id", "previous_version_id", "session_id", "generation", "text", "evidence_text")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_incremental_fold_is_the_whole_fold(spark, seed):
+    rows = random_log(seed)
+    whole = store.fold_commits(spark.createDataFrame(rows, store.LOG))
+    state, bad = store.empty_state(spark), []
+    for a, b in ((1, 20), (21, 21), (22, 40), (41, 60)):
+        new = spark.createDataFrame([r for r in rows if a <= r[1] <= b], store.LOG)
+        step = store.fold_commits(new, state)
+        bad += rows_of(step.rejected, "workspace_id", "commit_seq", "error")
+        state = {name: spark.createDataFrame(state[name].unionByName(made).collect(), store.STATE[name]) for name, made in step.changes().items()}
+    assert rows_of(store.current(state["memories"]), *MEMORY) == rows_of(whole.changes()["memories"], *MEMORY)
+    assert rows_of(state["versions"], *VERSION) == rows_of(whole.changes()["versions"], *VERSION)
+    assert sorted(bad, key=repr) == rows_of(whole.rejected, "workspace_id", "commit_seq", "error") and bad
+    assert rows_of(store.latest(state["heads"], "workspace_id"), "workspace_id", "n_memories", "n_versions") == rows_of(whole.changes()["heads"], "workspace_id", "n_memories", "n_versions")
+
+
+def test_a_commit_meets_only_what_it_touches(spark):
+    big = [("w", k, 0, f"s{k}", "h", 1, 1, 1, 0, "create", "fact", None, f"text {k}", "e") for k in range(1, 201)]
+    state = store.fold_commits(spark.createDataFrame(big, store.LOG)).changes()
+    new = spark.createDataFrame([("w", 300, 0, "s5", "x", 1, 1, 1, 0, "create", "fact", None, "TEXT 7", "e"), ("w", 300, 1, "s5", "x", 1, 1, 1, 0, "forget", None, 9, None, "e")], store.LOG)
+    met = store.touched(new, state)
+    assert rows_of(met.filter("tag = 'memory'"), "memory_id") == [(7,), (9,)] and met.count() <= 5  # and a checkpoint and the counters
+    made = store.fold_commits(new, state).changes()
+    assert rows_of(made["memories"], "memory_id", "state", "recurrence") == [(7, "active", 2), (9, "retired", 1)] and made["versions"].first().version_id == 201
+
+
+def test_parts_are_appended_compacted_and_swept(spark, tmp_path):
+    s = store.SnapshotStore(spark, str(tmp_path / "s"))
+    s.commit({"a": spark.range(1), "b": spark.range(1)})
+    for k in range(4):
+        s.commit({}, append={"a": spark.range(10 * k, 10 * k + 2)})
+    assert s.read("a").count() == 9 and len(s.paths()["a"]) == 5 and len(s.paths()["b"]) == 1
+    read = s.paths()
+    s.commit({}, append={"a": spark.range(1)})  # another writer's part
+    s.commit({}, {"b": read["b"]}, {"a": spark.range(1)})
+    with pytest.raises(store.Conflict, match="a"):
+        s.commit({}, {"a": read["a"]}, {"a": spark.range(1)})
+    held = s.read("a")
+    assert s.compact("a", lambda df: df.distinct(), most=3) and not s.compact("a", most=3) and s.read("a").count() == 8 and len(s.paths()["a"]) == 1
+    assert s.sweep(grace_ms=3_600_000) == 0 and held.count() == 11  # a reader within the grace time
+    for _ in range(30):
+        s.commit({"b": spark.range(2)})
+    assert s.sweep(grace_ms=0, now_ms=int(time.time() * 1000) + 5000) > 60
+    left = [x for x in os.listdir(tmp_path / "s") if not x.startswith(".")]
+    assert len(left) <= 4 and s.read("a").count() == 8 and s.read("b").count() == 2 and s.current() == 38  # two parts, a pointer, CURRENT
+    assert s.commit({"b": spark.range(3)}) == 39
+
+
+def test_old_stores_migrate_and_damaged_ones_are_refused(spark, tmp_path):
+    s = store.SnapshotStore(spark, str(tmp_path / "s"))
+    log = spark.createDataFrame([("w", 1, 0, "s1", "h", 1, 1, 1, 0, "create", "fact", None, "x", "e")], store.LOG)
+    s.commit({"log": log, "memories": store.fold(log), "versions": store.fold_versions(log)})
+
+    def rewrite(**changes):
+        path = tmp_path / "s" / "CURRENT"
+        state = json.loads(path.read_text()) | changes
+        for f in (path, tmp_path / "s" / f"pointer-{state['version']}"):
+            f.write_text(json.dumps(state))
+            (tmp_path / "s" / f".{f.name}.crc").unlink(missing_ok=True)
+        return state
+
+    tables = {"log": store.LOG, **store.STATE, "later": "n long"}
+    rewrite(schema_version=7, tables={k: v[0] for k, v in s.paths().items()})  # as the older schema had it
+    s.open(tables)
+    assert s.current() == 2 and rows_of(s.read("memories"), "memory_id", "seq") == [(1, 1)] and rows_of(s.read("heads"), "n_memories", "n_versions") == [(1, 1)] and s.read("later").isEmpty()
+    s.open(tables)
+    assert s.current() == 2
+    with pytest.raises(ValueError, match="no table other"):
+        s.open(tables | {"other": "n long"})
+    with pytest.raises(ValueError, match="log lacks"):
+        s.open(tables | {"log": store.LOG + ", more int"})
+    part = tmp_path / "s" / s.paths()["marks"][0]
+    (part / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="marks is missing"):
+        s.open(tables)
+    rewrite(schema_version=3)
+    with pytest.raises(ValueError, match="older than any"):
+        s.open(tables)

@@ -43,7 +43,7 @@ def test_bodies(spark):
     assert one(spark, T.body_error, " " + "x" * 400 + "\n") is None
 
 
-@pytest.mark.parametrize(("raw", "want"), [("M:12", 12), ("O:1", None), ("S:3", None), ("M:0", None), ("M:x", None), ("M:99999999999999999999", None)])
+@pytest.mark.parametrize(("raw", "want"), [("M:12", 12), (" M:5 ", 5), ("O:x", None), ("O:1", None), ("S:3", None), ("M:0", None), ("M:x", None), ("M:99999999999999999999", None)])
 def test_ids(spark, raw, want):
     assert one(spark, T.parse_id, raw) == want
     assert (one(spark, T.id_error, raw) is None) == (want is not None)
