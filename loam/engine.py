@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.operators import audit, budgets, control, index, mining, retrieval, store, synthesis, vectors
+from loam.operators import audit, budgets, control, embedder, index, mining, retrieval, store, synthesis, vectors
 from loam.session import LIMITS, Limits
 from loam.sources import config, manifest, transcripts
 
@@ -55,9 +55,9 @@ def command(line: str) -> tuple[str, str]:
 
 
 class Engine:
-    """embed(texts) -> vectors (None for a text without one) and model_id name the embedder; without embed, search is lexical alone."""
+    """embed(texts) -> vectors (None for a text without one) and model_id name the embedder: by default hashed n-grams. With embed=None search is lexical alone."""
 
-    def __init__(self, spark: SparkSession, root: str, workspace_id: str, config_path: str | None = None, embed: Callable | None = None, model_id: str = "default", limits: Limits = LIMITS) -> None:
+    def __init__(self, spark: SparkSession, root: str, workspace_id: str, config_path: str | None = None, embed: Callable | None = embedder.default, model_id: str = embedder.MODEL_ID, limits: Limits = LIMITS) -> None:
         self.spark, self.workspace, self.config_path, self.embed, self.model_id, self.limits = spark, workspace_id, config_path, embed, model_id, limits
         self.root = f"{root.rstrip('/')}/{workspace_id}"
         self.store = store.SnapshotStore(spark, f"{self.root}/store")

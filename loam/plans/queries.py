@@ -277,8 +277,8 @@ def _lists(spark, d, *columns):
         FROM f JOIN items i ON i.conv_id = f.conv_id AND i.n = f.n + 1)
     SELECT conv_id, turn FROM f WHERE kept""")
 def cap_greedy_skip(spark, d):
-    kept = budgets.greedy_budget(F.col("items"), lambda x: F.length(x["text"]), 300, 3)
-    return _lists(spark, d, "text").select("conv_id", F.explode(kept).alias("x")).select("conv_id", "x.turn")
+    rows = _table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
+    return budgets.greedy_rows(rows, ["conv_id"], ["turn"], "chars", 300, 3).select("conv_id", "turn")
 
 
 @query(f"""WITH RECURSIVE items AS (SELECT conv_id, turn, '- M:' || turn || ' (preference): ' || text AS line, length('- M:' || turn || ' (preference): ' || text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),

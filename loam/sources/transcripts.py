@@ -125,10 +125,10 @@ def line_of(limits: Limits = LIMITS, redact_first: bool = True) -> Column:
 def pack(lines: DataFrame, most_chars: int = LIMITS.segment_chars, most_messages: int = LIMITS.segment_messages) -> DataFrame:
     """lines (session, index, line) -> session, segment_no, start_index, end_index, text, chars (without what joins the lines).
 
-    A session is bounded by the file limit, so one row may hold it.
+    A session's lines are streamed through the fold; what is gathered in a row is one segment, which the caps bound (a single line apart).
     """
-    lists = lines.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("index", "line"))).alias("items"))
-    bins = budgets.fill_bins(F.col("items"), lambda x: F.length(x["line"]), most_chars, most_messages)
-    cut = lists.select("session", F.posexplode(bins).alias("segment_no", "own"))
-    chars = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + F.length(x["line"]))
-    return cut.select("session", "segment_no", F.get("own", F.lit(0))["index"].alias("start_index"), (F.element_at("own", -1)["index"] + 1).alias("end_index"), F.array_join(F.transform("own", lambda x: x["line"]), "\n\n").alias("text"), chars.alias("chars"))
+    sized = lines.select("session", "index", "line", F.length("line").cast("long").alias("chars"))
+    cut = budgets.bin_rows(sized, ["session"], ["index"], "chars", most_chars, most_messages, number="segment_no")
+    own = F.array_sort(F.collect_list(F.struct("index", "line")))
+    found = cut.groupBy("session", "segment_no").agg(own.alias("own"), F.sum("chars").alias("chars"), F.min("index").alias("start_index"), (F.max("index") + 1).alias("end_index"))
+    return found.select("session", "segment_no", "start_index", "end_index", F.array_join(F.transform("own", lambda x: x["line"]), "\n\n").alias("text"), "chars")

@@ -7,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loam.functions.text import match_expression
-from loam.operators import budgets, lexical, retrieval, vectors
+from loam.functions.text import match_expression, significant
+from loam.operators import budgets, embedder, index, lexical, retrieval, vectors
 
 
 def plain_greedy(lengths, most, units):
@@ -127,3 +127,127 @@ def test_embeddings_are_refreshed_by_hash(spark):
     assert {r.node_id for r in first.collect()} == {1, 2}
     changed = docs.withColumn("text", F.when(F.col("node_id") == 2, "bb").otherwise(F.col("text")))
     assert {r.node_id for r in vectors.stale(changed, first, "m").collect()} == {2, 3}
+
+
+def test_common_terms_rank_by_score(spark):
+    """A term of over half of the documents weighs 1e-6: scores lie close together, and still order the hits."""
+    docs = spark.createDataFrame([(1, "the cat sat by the door of the house"), (2, "the dog"), (3, "the the the bird of"), (4, "over the hill and far away the wind"), (5, "the end of the day of")], "node_id long, text string")
+    asked = spark.createDataFrame([(1, 0, "the"), (2, 0, "the of and")], "query_id long, segment_no int, text string")
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(t)")
+    for r in docs.collect():
+        con.execute("INSERT INTO f(rowid, t) VALUES (?, ?)", (r.node_id, r.text))
+    got = lexical.ranked(lexical.bm25(docs, asked)).orderBy("query_id", "rank").collect()
+    for q, match in ((1, '"the"'), (2, '"the" OR "of" OR "and"')):
+        want = [r[0] for r in con.execute("SELECT rowid FROM f WHERE f MATCH ? ORDER BY rank, rowid", (match,))]
+        assert [r.node_id for r in got if r.query_id == q] == want
+    assert [r.x for r in spark.createDataFrame([(1.2345678901234e-6,), (987.65432109876543,)], "v double").select(significant(F.col("v"), 4).alias("x")).collect()] == [1.235e-6, 987.7]
+
+
+def test_cells_change_nothing_and_keep_the_best(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for k in range(120)] + [(200, None), (201, "w1 w2"), (202, "w2 w1")], "node_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(k, k % 2, " ".join(rng.choices(words, k=12))) for k in range(9)] + [(50, 0, "unknown"), (51, 0, None)], "query_id long, segment_no int, text string")
+    whole = {tuple(r)[:3]: r.score for r in lexical.bm25(docs, asked).collect()}
+    for name, value in (("SHARD_TERMS", 300), ("TILE_TERMS", 30), ("CELLS", 7)):
+        monkeypatch.setattr(lexical, name, value)
+    small = {tuple(r)[:3]: r.score for r in lexical.bm25(docs, asked).collect()}
+    assert small.keys() == whole.keys() and all(abs(small[k] - whole[k]) < 1e-12 for k in whole)
+    best = lexical.ranked(lexical.bm25(docs, asked, most=5), most=5).select("query_id", "segment_no", "node_id", "rank")
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, lexical.ranked(lexical.bm25(docs, asked), most=5).select("query_id", "segment_no", "node_id", "rank").collect()))
+
+
+def test_index_is_a_scan_after_every_commit_and_reads_less(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 4)
+    monkeypatch.setattr(index, "PIECE", 60)
+    monkeypatch.setattr(index, "SMALL", 0)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(25)]
+    text = lambda: "common " * rng.randint(1, 3) + " ".join(rng.choices(words, k=rng.randint(1, 25)))
+    frame = lambda d: spark.createDataFrame(list(d.items()), "node_id long, text string")
+    now = {k: text() for k in range(150)}
+    postings, stats = index.build(frame(now), 1)
+    asked = spark.createDataFrame([(1, 0, "common w1"), (2, 0, "w2 w3 w3"), (3, 0, "w4 common w5 w6"), (4, 0, "nothing")], "query_id long, segment_no int, text string")
+    for seq in (2, 3, 4):
+        touched = rng.sample(sorted(now), 20)
+        before = {k: now[k] for k in touched}
+        after = {k: text() for k in touched[:12]} | {1000 + 10 * seq + k: text() for k in range(5)} | {touched[12]: now[touched[12]]}
+        for k in touched:
+            del now[k]
+        now |= after
+        more, moved = index.changes(frame(before), frame(after), seq, stats)
+        postings = spark.createDataFrame(postings.unionByName(more).collect(), index.POSTINGS)
+        stats = spark.createDataFrame(stats.unionByName(moved).collect(), index.STATS)
+    want = lexical.ranked(lexical.bm25(frame(now), asked), most=6)
+    check = lambda p: sorted((r.query_id, r["rank"], r.node_id, round(r.score, 9)) for r in index.search(p, stats, asked, 6).collect())
+    expected = sorted((r.query_id, r["rank"], r.node_id, round(r.score, 9)) for r in want.collect())
+    assert check(postings) == expected and len(expected) == 18
+    small = spark.createDataFrame(index.compacted(postings, stats).collect(), index.POSTINGS)
+    assert check(small) == expected and small.filter("sign < 0").isEmpty() and small.agg(F.sum("n")).first()[0] < postings.agg(F.sum("n")).first()[0]
+    two = spark.createDataFrame([(1, 0, "w1", 1), (1, 0, "w2", 1)], "query_id long, segment_no int, term string, times long")
+    own = small.filter(F.col("term").isin("w1", "w2"))
+    n, avg = index.average(stats)
+    bound = index.bounded(own, index.weights(own, two, n), avg)
+    third = lexical.ranked(lexical.bm25(frame(now), spark.createDataFrame([(1, 0, "w1 w2")], "query_id long, segment_no int, text string"))).filter("rank = 3").select("query_id", "segment_no", F.col("score").alias("reached"))
+    assert index.first_blocks(bound, 3).count() <= 4
+    one = index.bounded(own, index.weights(own, two.filter("term = 'w1'"), n), avg)
+    best = index.scored(own, None, index.weights(own, two.filter("term = 'w1'"), n), avg, 3).filter("rank = 3").select("query_id", "segment_no", F.col("score").alias("reached"))
+    assert 0 < index.needed(one, best).count() <= one.count() / 3
+    assert 0 < index.needed(bound, third).count() < own.count() and index.needed(bound, third.limit(0)).count() == own.count()
+
+
+def test_streamed_folds_are_the_plain_loops(spark):
+    rng = random.Random(2)
+    lists = [[rng.randint(0, 30) for _ in range(rng.randint(0, 50))] for _ in range(12)] + [[1] * 3000]
+    rows = [(k if k else None, i, n) for k, own in enumerate(lists) for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "k int, i int, n long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        greedy = sorted(((r.k or 0), r.place, r.i) for r in budgets.greedy_rows(df, ["k"], ["i"], "n", 40, 5).collect())
+        bins = sorted(((r.k or 0), r.i, r.bin) for r in budgets.bin_rows(df, ["k"], ["i"], "n", 40, 4).collect())
+        alone = sorted(((r.k or 0), r.i, r.bin) for r in budgets.bin_rows(df, ["k"], ["i"], "n", 20, joint=1, alone_over=True).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert greedy == [(k, p, i) for k, own in enumerate(lists) for p, i in enumerate(plain_greedy(own, 40, 5))]
+    sizes = [[len(b) for b in plain_bins(own, 40, 4)] for own in lists]
+    assert bins == [(k, i, b) for k, own in enumerate(sizes) for i, b in enumerate(x for b, n in enumerate(own) for x in [b] * n)]
+    items = spark.createDataFrame([(k, [(i, n) for i, n in enumerate(own)]) for k, own in enumerate(lists[:12])], "k int, items array<struct<i:int,n:int>>")
+    folded = items.select("k", F.posexplode(budgets.fill_bins(F.col("items"), lambda x: x["n"], 20, joint=1, alone_over=True)).alias("b", "own")).select("k", "b", F.explode("own").alias("x")).collect()
+    assert [x for x in alone if x[0] < 12] == sorted((r.k, r.x.i, r.b) for r in folded)
+
+
+def test_cosine_blocks_are_brute_force_and_are_ruled_out(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    rows = [(k, [float(x) for x in centres[k % 6] * (1 + k % 3) + rng.normal(size=8) * 0.05]) for k in range(300)] + [(300, [0.0] * 8), (301, None), (302, [1.0, 2.0]), (303, [])]
+    stored = spark.createDataFrame(rows, "node_id long, vector array<double>").repartition(3)
+    asked = stored.filter("node_id % 7 = 0 or node_id > 299").select(F.col("node_id").alias("query_id"), F.lit(0).alias("segment_no"), "vector")
+    monkeypatch.setattr(vectors, "PACK", 16)
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    monkeypatch.setattr(vectors, "TILE", 20)
+    for floor in (0.15, -0.2):
+        want = set()
+        for q, a in rows:
+            if a is None or q % 7 and q < 300:
+                continue
+            for n, b in rows:
+                m = min(len(a), len(b or []))
+                x, y = np.array(a[:m]), np.array((b or [])[:m])
+                s = float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) if m and np.linalg.norm(x) > 0 and np.linalg.norm(y) > 0 else 0.0
+                if s >= floor:
+                    want.add((q, n, round(s, 9)))
+        got = vectors.cosine_hits(stored, asked, floor).collect()
+        assert {(r.query_id, r.node_id, round(r.score, 9)) for r in got} == want and len(got) == len(want)
+    far = [vectors._block([(0, 0, k, np.eye(8)[j] + 0.01 * rng.normal(size=8)) for k in range(5)]) for j in (0, 1)]
+    far = [b | {"centre": np.frombuffer(b["centre"]), "cells": np.frombuffer(b["cells"]).reshape(5, 8)} for b in far]
+    assert vectors.ruled_out(far[0], far[1], 0.15) and not vectors.ruled_out(far[0], far[0], 0.15)
+
+
+def test_default_embedder(spark):
+    a, b, c, none = embedder.default(["Prefer tabs over spaces", "prefers  TABS, not spaces", "the database listens on port 5432", " ?!"])
+    cosine = lambda x, y: float(np.dot(x, y))
+    assert none is None and abs(cosine(a, a) - 1) < 1e-6 and cosine(a, b) > 0.3 > cosine(a, c)
+    assert embedder.Hashed()(["Prefer tabs over spaces"])[0] == a
+    rows = spark.createDataFrame([("Prefer tabs over spaces",), (None,)], "t string").repartition(2).select(embedder.embedded(F.col("t")).alias("v")).collect()
+    assert sorted((r.v for r in rows), key=lambda v: v is None) == [a, None]
