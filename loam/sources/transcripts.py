@@ -53,8 +53,11 @@ def _text(v: Column, path: str) -> Column:
     return F.when(blocks.isNotNull(), F.array_join(texts, "")).otherwise(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
 
 
-def messages(found: DataFrame) -> DataFrame:
-    """entries -> session, position, role, ts_ms, custom_type, parts. A tool result without a name takes that of its call, the last of an id."""
+def messages(found: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """entries -> session, position, role, ts_ms, custom_type, parts. A tool result without a name takes that of its call, the last of an id.
+
+    before (session, call, known): tools of calls that earlier parts of the sessions made.
+    """
     v = F.col("v")
     get = lambda p, t="string": F.try_variant_get(v, p, t)
     null = F.lit(None).cast("string")
@@ -91,6 +94,9 @@ def messages(found: DataFrame) -> DataFrame:
     ).filter("role is not null")
     calls = rows.filter("role = 'assistant'").select("session", "line", F.posexplode("parts").alias("at", "p")).filter("p.type = 'toolCall' and p.tool_call_id <> '' and p.tool <> ''")
     tools = calls.groupBy("session", F.col("p.tool_call_id").alias("call")).agg(F.max_by("p.tool", F.struct("line", "at")).alias("known"))
+    if before is not None:
+        own = tools.select("session", "call")
+        tools = tools.unionByName(before.select("session", "call", "known").join(own, ["session", "call"], "left_anti"))
     asked = F.when((F.col("role") == "toolResult") & F.get("parts", F.lit(0))["tool"].isNull(), F.get("parts", F.lit(0))["tool_call_id"])
     named = rows.withColumn("call", asked).join(tools, ["session", "call"], "left")
     filled = F.when(F.col("known").isNotNull(), F.transform("parts", lambda p: p.withField("tool", F.col("known")))).otherwise(F.col("parts"))
