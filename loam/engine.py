@@ -12,16 +12,18 @@ import logging
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loam.abort import Abort
 from loam.functions import text as T
 from loam.operators import audit, budgets, control, embedder, index, mining, retrieval, store, synthesis, vectors
 from loam.session import LIMITS, Limits
-from loam.sources import config, manifest, transcripts
+from loam.sources import config, manifest, sessions as session_files, transcripts
 
 CHECKPOINTS = "session_id string, path string, cwd string, mtime_ms long, content_hash string, offset long, total long"
 DIAGNOSTICS = "run_id string, step string, at_ms long, name string, value long"
@@ -62,6 +64,7 @@ class Engine:
         self.root = f"{root.rstrip('/')}/{workspace_id}"
         self.store = store.SnapshotStore(spark, f"{self.root}/store")
         self.embedder = "not_loaded" if embed else "absent"
+        self._abort: Abort | None = None
         if self.store.current() is None:
             empty = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
             self.store.commit({**empty, "state": control.new_state(spark, workspace_id)})
@@ -149,7 +152,7 @@ class Engine:
 
     # Control
 
-    def settled(self, now_ms: int, has_due: bool = True, sessions: str | None = None, cwd: str | None = None) -> bool:
+    def settled(self, now_ms: int, has_due: bool = True, sessions: str | None = None, cwd: str | list[str] | None = None) -> bool:
         """Note a settled turn; whether a run is due with it. With a folder of sessions, one that is to be mined is looked for
         (last, as it reads their files)."""
         c = self.config()
@@ -162,7 +165,7 @@ class Engine:
                 break
             except store.Conflict:  # another turn settled meanwhile: this one counts on top of it
                 continue
-        return due and (sessions is None or not control.due(self._found(sessions, cwd), self.table("checkpoints"), most=1).isEmpty())
+        return due and (sessions is None or not self._due(sessions, cwd, 1).isEmpty())
 
     def report(self) -> str | None:
         """The next ended run to tell of, marked as told together with the commit; None without one."""
@@ -260,12 +263,15 @@ class Engine:
 
     # Mining
 
-    def dream(self, sessions: str, cwd: str, extract: Callable, decide: Callable, now_ms: int) -> dict | None:
+    def dream(self, sessions: str, cwd: str | list[str], extract: Callable, decide: Callable, now_ms: int, abort: Abort | None = None) -> dict | None:
         """Mine what is new below the folder `sessions`: counts of the run, None where another run is live or the workspace is paused.
 
         Claims are single: of two at once, one finds the runs changed and gives None. The run's results are committed only while
         its claim stands, and only onto the tables that they were made from.
 
+        cwd: the workspace's folder, or its worktrees; sessions that began in one of them or below are mined. abort: cancels the run,
+        model calls included: its claim ends failed, and nothing of it is committed.
+
         extract(segment text, problem) and decide(prompt, problem) are the two models. Sessions are mined newest first; the
         first that fails or is cut off by the run's budget ends the run.
         """
@@ -283,7 +289,9 @@ class Engine:
             return None
         try:
             read = self.store.paths()
-            changes, more, folded, result = self._mined(run_id, sessions, cwd, extract, decide, began + 60 * self.limits.run_minutes)
+            with abort or nullcontext():
+                self._abort = abort
+                changes, more, folded, result = self._mined(run_id, sessions, cwd, extract, decide, began + 60 * self.limits.run_minutes)
             read |= {k: v for k, v in self.store.paths().items() if k in ("runs", "state")}  # these are read again below
             if not control.owns(self.table("runs"), run_id):
                 raise store.Conflict(f"run {run_id} lost its claim")
@@ -296,8 +304,11 @@ class Engine:
             more["diagnostics"] = self.spark.createDataFrame(facts, DIAGNOSTICS)
             self._commit_log(more.pop("log"), folded, changes, more, read)
         except BaseException as e:
+            self._abort = None
             self._failed(run_id, now_ms, str(e) or type(e).__name__)
             raise
+        finally:
+            self._abort = None
         if self.store.current() % store.PARTS == 0:
             self.maintain()
         trace("dream", **result)
@@ -318,7 +329,7 @@ class Engine:
     def _mined(self, run_id: str, sessions: str, cwd: str, extract: Callable, decide: Callable, until: float) -> tuple[dict[str, DataFrame], dict[str, DataFrame], store.Folded, dict]:
         """What the run puts in place of tables, what it appends, the fold of its commits, and its counts."""
         limits, home = self.limits, f"{self.root}/runs/{run_id}"
-        entries = manifest.snapshot(control.due(self._found(sessions, cwd), self.table("checkpoints"), most=limits.manifest_sessions), f"{home}/snapshot")
+        entries = manifest.snapshot(self._bodies(self._due(sessions, cwd, limits.manifest_sessions)), f"{home}/snapshot")
         manifest.save(entries, f"{home}/manifest")
         entries = manifest.load(self.spark, f"{home}/manifest").withColumn("session_order", F.row_number().over(Window.orderBy(F.desc("mtime_ms"), "session_id")))  # `manifest_sessions` rows
         raw = transcripts.verified(self.spark.read.parquet(f"{home}/snapshot").withColumn("length", F.length("content")), entries)
@@ -380,10 +391,24 @@ class Engine:
                 self.embedder, result["embedding_error"] = "failed", str(e)[:400]
         return changes, more, folded, result
 
-    def _found(self, sessions: str, cwd: str | None) -> DataFrame:
-        """The workspace's session files, with ids and hashes."""
-        found = transcripts.hashed(transcripts.files(self.spark, sessions), self.limits.session_bytes).withColumn("header", transcripts.header(F.col("content"))).filter(F.col("header.cwd") == cwd)
-        return found.withColumns({"session_id": F.coalesce("header.id", T.fallback_session_id(F.col("path"), F.lit(cwd))), "cwd": F.lit(cwd), "workspace_id": F.lit(self.workspace)})
+    def _found(self, sessions: str, cwd: str | list[str] | None) -> DataFrame:
+        """The workspace's session files by their headers: path, mtime_ms, cwd, session_id. No body is read."""
+        session_files.register(self.spark)
+        trees = [cwd] if isinstance(cwd, str) else list(cwd or [])
+        found = self.spark.read.format("loam_sessions").option("path", sessions).option("worktrees", json.dumps(trees)).load()
+        return found.select("path", "mtime_ms", "length", "cwd", F.coalesce("session_id", T.fallback_session_id(F.col("path"), F.col("cwd"))).alias("session_id"), F.lit(self.workspace).alias("workspace_id"))
+
+    def _due(self, sessions: str, cwd: str | list[str] | None, most: int) -> DataFrame:
+        """The sessions to mine, newest first. Only files whose time says nothing are read for their hash."""
+        found, marks = self._found(sessions, cwd), self.table("checkpoints")
+        clear, doubtful = control.by_time(found, marks)
+        hashed = session_files.with_bodies(doubtful, self.limits.session_bytes, content=False)
+        files = clear.withColumn("content_hash", F.lit(None).cast("string")).unionByName(hashed)
+        return control.due(files, marks, most=most).select(*found.columns)
+
+    def _bodies(self, due: DataFrame) -> DataFrame:
+        """Due sessions (bounded) with their contents, and where to start in them."""
+        return control.with_checkpoints(session_files.with_bodies(due, self.limits.session_bytes), self.table("checkpoints"))
 
     def _embedded(self, memories: DataFrame) -> tuple[DataFrame, str | None]:
         """The embeddings after a pass, and what ended it early."""
@@ -416,6 +441,8 @@ class Engine:
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         """Written below the workspace and read back: what a model said, or what several tables derive from, is computed once."""
+        if self._abort is not None:
+            self._abort.check()
         path = f"{self.root}/steps/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

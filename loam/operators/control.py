@@ -16,6 +16,16 @@ def with_checkpoints(files: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return files.join(marks, "session_id", "left").withColumn("current", F.coalesce(current, F.lit(False))).withColumn("start_offset", F.when(F.col("c_hash") == F.col("content_hash"), F.col("offset")).otherwise(0))
 
 
+def by_time(files: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files (session_id, mtime_ms) apart: those that are due whatever they hold (unknown, newer, or mined in part), and those that
+    only their hash can tell. Sessions that were checkpointed without a hash, and are no newer, are neither."""
+    marks = checkpoints.select("session_id", F.col("mtime_ms").alias("c_mtime"), F.col("content_hash").alias("c_hash"), "offset", "total", F.lit(True).alias("known"))
+    both = files.join(marks, "session_id", "left")
+    partial = F.coalesce((F.col("total") > 0) & (F.col("offset") < F.col("total")), F.lit(False))
+    open_ = F.col("known").isNull() | (F.col("c_mtime") < F.col("mtime_ms")) | partial
+    return both.filter(open_).select(*files.columns), both.filter(~open_ & F.col("c_hash").isNotNull()).select(*files.columns)
+
+
 def due(files: DataFrame, checkpoints: DataFrame, keys: tuple[str, ...] = ("workspace_id",), most: int = LIMITS.manifest_sessions) -> DataFrame:
     """The sessions to mine, newest first, `most` a workspace: current ones do not take a place."""
     w = Window.partitionBy(*keys).orderBy(F.desc("mtime_ms"), "session_id")

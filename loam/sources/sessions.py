@@ -12,10 +12,13 @@ Both read through pyarrow's file systems: local folders, HDFS, S3.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 HEADER_BYTES = 8192  # fixed value
@@ -74,6 +77,8 @@ def listed(path: str) -> list[tuple[str, int, int]]:
     from pyarrow import fs
 
     system, inner, before = _filesystem(path)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        raise FileNotFoundError(f"folder {path} does not exist")
     found = {}
     for info in system.get_file_info(fs.FileSelector(inner, recursive=True)):
         if info.type == fs.FileType.File and info.path.endswith(".jsonl"):
@@ -199,6 +204,27 @@ class ChangedSessions(DataSource):
         return ChangedReader(self.options)
 
 
+def with_bodies(files: DataFrame, most: int, content: bool = True) -> DataFrame:
+    """files (path, ...) with content_hash, and content: read in tasks, one file at a time. One over `most` bytes stops the job; one that is gone is left out."""
+    kind = T.StructType([*files.schema.fields, T.StructField("content_hash", T.StringType()), *([T.StructField("content", T.BinaryType())] if content else [])])
+    at = files.columns.index("path")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column(at).to_pylist()):
+                try:
+                    with _opened(path) as stream:
+                        body = stream.read(most + 1)
+                except OSError:
+                    continue
+                if len(body) > most:
+                    raise ValueError(f"session file too large: {path}")
+                more = [pa.array([hashlib.sha256(body).hexdigest()])] + ([pa.array([body], pa.binary())] if content else [])
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *more], names=kind.names)
+
+    return files.mapInArrow(work, kind)
+
+
 def register(spark: SparkSession) -> None:
     """Make both sources known to a session, with filters pushed into them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

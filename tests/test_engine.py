@@ -1,11 +1,14 @@
 import json
 import os
+import threading
+import time
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from loam import engine as E
+from loam.abort import Abort, Aborted
 from loam.operators import audit, control, store, vectors
 from loam.session import LIMITS
 
@@ -122,7 +125,7 @@ def test_of_two_writers_one_wins(spark, tmp_path):
 def test_a_run_commits_only_under_its_claim(spark, tmp_path):
     inbox = tmp_path / "in"
     transcript(inbox / "a.jsonl", "s1", "prefer tabs")
-    e = E.Engine(spark, str(tmp_path / "root"), "w")
+    e = E.Engine(spark, str(tmp_path / "root"), "w", embed=None)
 
     def mine(between):
         real, run = e._mined, {}
@@ -159,7 +162,7 @@ def test_a_run_commits_only_under_its_claim(spark, tmp_path):
 def test_a_run_ends_with_its_time(spark, tmp_path):
     inbox = tmp_path / "in"
     transcript(inbox / "a.jsonl", "s1", "prefer tabs")
-    e = E.Engine(spark, str(tmp_path / "root"), "w", limits=replace(LIMITS, run_minutes=0))
+    e = E.Engine(spark, str(tmp_path / "root"), "w", embed=None, limits=replace(LIMITS, run_minutes=0))
     run = e.dream(str(inbox), "/w", extract, decide, 10 * HOUR)
     assert (run["sessions"], run["operations"], run["error"]) == (0, 0, None) and e.table("checkpoints").isEmpty()
     for _ in range(9):
@@ -188,3 +191,38 @@ def test_an_embedder_that_fails_keeps_what_was_done(spark):
     after = vectors.merged(docs, old, made, "m")
     assert sorted((r.node_id, r.model_id) for r in after.collect()) == [(1, "m"), (9, "other")]
     assert sorted(r.node_id for r in vectors.stale(docs, after, "m").collect()) == [2, 3]
+
+
+def test_a_cancelled_run_stops_and_commits_nothing(spark, tmp_path):
+    inbox = tmp_path / "in"
+    transcript(inbox / "a.jsonl", "s1", "prefer tabs")
+    e = E.Engine(spark, str(tmp_path / "root"), "w", embed=None)
+    begun = tmp_path / "begun"
+
+    def waits(text, problem):
+        begun.touch()
+        time.sleep(600)
+
+    abort = Abort(spark)
+
+    def cancel():
+        while not begun.exists():
+            time.sleep(0.05)
+        cancelled.append(time.time())
+        abort.cancel("no longer wanted")
+
+    cancelled: list[float] = []
+    threading.Thread(target=cancel, daemon=True).start()
+    real = e._failed
+    ended = []
+    e._failed = lambda *args: (ended.append(time.time()), real(*args))
+    with pytest.raises(Aborted, match="no longer wanted"):
+        e.dream(str(inbox), "/w", waits, decide, 10 * HOUR, abort)
+    assert ended[0] - cancelled[0] < 1
+    run = e.table("runs").first()
+    assert (run.status, run.error) == ("failed", "no longer wanted") and e.every().isEmpty() and e.table("checkpoints").isEmpty() and e.table("log").isEmpty()
+    with pytest.raises(Aborted, match="over 0.2 seconds"), Abort(spark, 0.2):
+        spark.range(4).repartition(4).mapInPandas(lambda frames: (time.sleep(30) or f for f in frames), "id long").count()
+    with pytest.raises(Aborted):
+        abort.check()
+    assert spark.range(3).count() == 3
