@@ -90,6 +90,7 @@ def keep_edges(x: Column, most: int) -> Column:
 def body_error(x: Column, most: int = LIMITS.body_chars, subject: str = "Memory text") -> Column:
     """Why a text is no valid body, or null."""
     t = trim_space(x)
+    # The three messages, which callers compare.
     return F.when(t == "", f"{subject} must be non-empty").when(F.contains(t, F.lit("\n")), f"{subject} must be a single line").when(F.length(t) > most, f"{subject} exceeds {most} characters")
 
 

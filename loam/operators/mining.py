@@ -165,12 +165,12 @@ def synthesis_error(content: Column, sources: Column, payload_ids: Column, purpo
     said = F.trim(content) != ""
     cited = F.size(sources) > 0
     return (
-        F.when(content.isNull(), '"content" must be a string')
-        .when(F.length(content) > limits.section_chars, f"content exceeds {limits.section_chars} characters")
-        .when(sources.isNull(), '"sources" must be an array')
-        .when(F.exists(sources, lambda s: ~F.coalesce(s.rlike(r"^M:0*[1-9]\d*$"), F.lit(False))), "invalid source id")
+        F.when(content.isNull(), 'the answer has no string as its content')
+        .when(F.length(content) > limits.section_chars, f"the content is longer than {limits.section_chars} characters")
+        .when(sources.isNull(), 'the answer has no list of sources')
+        .when(F.exists(sources, lambda s: ~F.coalesce(s.rlike(r"^M:0*[1-9]\d*$"), F.lit(False))), "a source id is invalid")
         .when(F.size(F.array_except(sources, payload_ids)) > 0, "a source is not visible in the payload")
-        .when(F.size(F.array_distinct(sources)) < F.size(sources), "duplicate source id")
+        .when(F.size(F.array_distinct(sources)) < F.size(sources), "a source is named twice (duplicate)")
         .when((purpose == "briefing") & (said != cited), "content and sources must both be there or neither")
         .when((purpose == "search") & ~said, "empty answer")
         .when((purpose == "search") & (cited == (F.trim(content) == nothing)), "sources must be empty exactly where nothing was found")
