@@ -38,7 +38,7 @@ ROUNDS = 4
 BLOCK = 1024  #: vectors of a packed block
 RING = 8  #: entries nearest in norm that give a first best distance
 TILE = 256  #: parts that are compared with an annulus at a time
-LIMIT = 2.0**24  #: components (scaled) up to this are packed in 32 bits
+LIMIT = 2.0**20  #: components (scaled) up to this are packed in 32 bits
 
 PACKED = "dim int, wide boolean, ids array<long>, labels array<string>, cells binary"
 SUMS = "part int, entry int, n long, total array<long>"
@@ -100,8 +100,11 @@ class Codebook:
         return np.array([_root(x) for x in (rows * rows).sum(1)], np.float64) if rows.dtype == object else np.sqrt((rows * rows).sum(1).astype(np.float64))
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entry, squared distance) of each row."""
-        n, size = len(rows), len(self.entries)
+        """(entry, squared distance) of each row. Where doubles hold every distance exactly the products are taken in doubles, else in the rows' own kind."""
+        kind, entries = rows.dtype, self.entries
+        if kind == np.int64 and max(1, rows.shape[1]) * (_most(rows) + _most(entries)) ** 2 < 2**53:
+            rows, entries = rows.astype(np.float64), entries.astype(np.float64)
+        n, size = len(rows), len(entries)
         norm = self._norms(rows)
         place = np.searchsorted(self.norm, norm)
         best, entry = np.zeros(n, rows.dtype), np.zeros(n, np.int64)
@@ -111,20 +114,24 @@ class Codebook:
             part = rows[own]
             low = np.clip(place[own] - RING // 2, 0, max(0, size - RING))
             ring = np.minimum(low[:, None] + np.arange(min(RING, size)), size - 1)
-            gap = self.entries[ring] - part[:, None, :]
+            gap = entries[ring] - part[:, None, :]
             first = (gap * gap).sum(2).min(1)
             reach = np.array([_root(x) for x in first], np.float64) if rows.dtype == object else np.sqrt(first.astype(np.float64))
             slack = 1e-9 * (norm[own] + reach + 1)
             low = np.searchsorted(self.norm, norm[own] - reach - slack, "left")
             high = np.searchsorted(self.norm, norm[own] + reach + slack, "right")
             base, top = int(low.min()), int(high.max())
-            among, index = self.entries[base:top], self.order[base:top]
+            among, index = entries[base:top], self.order[base:top]
             distance = (part * part).sum(1)[:, None] - 2 * (part @ among.T) + (among * among).sum(1)
             inside = (np.arange(base, top) >= low[:, None]) & (np.arange(base, top) < high[:, None])
             least = np.where(inside, distance, first[:, None] + 1).min(1)
             entry[own] = np.where(inside & (distance == least[:, None]), index, size).min(1)
             best[own] = least
-        return entry, best
+        return entry, best.astype(kind)
+
+
+def _most(rows: np.ndarray) -> int:
+    return int(np.abs(rows).max(initial=0))
 
 
 def _root(x: int) -> float:

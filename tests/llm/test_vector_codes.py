@@ -72,7 +72,7 @@ def test_lengths_have_codebooks_of_their_own(spark):
 
 def test_pruning_finds_the_nearest_of_all(monkeypatch):
     rng = np.random.default_rng(3)
-    for scale in (1, 40, 10**6):
+    for scale in (1, 40, 10**6, 10**8):  # in doubles, and in 64-bit integers
         entries = rng.integers(-scale, scale + 1, (256, 5))
         entries[100:140] = entries[:40]  # equal entries: the first counts
         rows = rng.integers(-2 * scale, 2 * scale + 1, (700, 5))
