@@ -41,8 +41,8 @@ BLANK = "▁"  #: stands for a blank in pieces
 # Fixed values of the model format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-HELD_WORDS = 1 << 19  #: words whose ids a worker remembers
-HELD_PAIRS = 1 << 21  #: slots for pairs of pieces that a worker remembers
+HELD_WORDS = 1 << 18  #: words whose ids a worker remembers
+HELD_PAIRS = 1 << 20  #: slots for pairs of pieces that a worker remembers
 TOGETHER = 1 << 16  #: characters of words that advance together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
