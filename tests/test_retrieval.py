@@ -158,6 +158,42 @@ def test_cells_change_nothing_and_keep_the_best(spark, monkeypatch):
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, lexical.ranked(lexical.bm25(docs, asked), most=5).select("query_id", "segment_no", "node_id", "rank").collect()))
 
 
+def _searched(spark, n_queries=12):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randint(1, 30)))) for k in range(150)], "node_id long, text string")
+    asked = spark.createDataFrame([(k % 4, k // 4, " ".join(rng.choices(words, k=2 + k))) for k in range(n_queries)], "query_id long, segment_no int, text string")
+    return docs, asked
+
+
+def test_no_more_hits_than_asked_for_leave_the_search(spark, monkeypatch):
+    """Documents are not copied for each tile, and their parts' hits are ranked before they are handed on."""
+    docs, asked = _searched(spark)
+    monkeypatch.setattr(lexical, "SHARD_TERMS", 200)
+    monkeypatch.setattr(lexical, "TILE_QUERIES", 5)
+    rows = lexical.bm25(docs, asked, most=5).groupBy("query_id", "segment_no").count().collect()
+    assert len(rows) == 12 and all(r["count"] == 5 for r in rows)
+
+
+def test_segments_beyond_the_quota_are_not_searched(spark, monkeypatch):
+    docs, asked = _searched(spark)
+    key = ["query_id", "segment_no", "node_id", "rank"]
+    every, some = (lexical.ranked(lexical.bm25(docs, asked, most=m, shared=shared), most=m).select(*key) for m, shared in ((40, False), (40, True)))
+    assert some.select("segment_no").distinct().count() < 3 == every.select("segment_no").distinct().count()
+    rows = lambda hits: sorted(map(tuple, lexical.quota(hits, most=40).collect()))
+    assert rows(some) == rows(every) and len(rows(some)) >= 80
+
+
+def test_dense_terms_change_nothing(spark, monkeypatch):
+    docs, asked = _searched(spark)
+    key = ["query_id", "segment_no", "node_id", "rank"]
+    found = []
+    for share in (0.0, 2.0):  # all terms, none
+        monkeypatch.setattr(lexical, "DENSE", share)
+        found.append(sorted(map(tuple, lexical.ranked(lexical.bm25(docs, asked, most=7), most=7).select(*key).collect())))
+    assert found[0] == found[1]
+
+
 def test_index_is_a_scan_after_every_commit_and_reads_less(spark, monkeypatch):
     monkeypatch.setattr(index, "BLOCK", 4)
     monkeypatch.setattr(index, "PIECE", 60)
