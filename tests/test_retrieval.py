@@ -233,6 +233,22 @@ def test_index_is_a_scan_after_every_commit_and_reads_less(spark, monkeypatch):
     assert 0 < index.needed(bound, third).count() < own.count() and index.needed(bound, third.limit(0)).count() == own.count()
 
 
+def test_many_queries_meet_the_index_by_documents(spark, monkeypatch):
+    """Postings are not joined to the queries one by one, dead ones stay out, and the hits are those of the bounded search."""
+    docs, asked = _searched(spark)
+    before = docs.filter("node_id < 40")
+    after = before.filter("node_id < 30").withColumn("text", F.concat("text", F.lit(" w1 w1 w2")))
+    first, moved = index.build(docs, 1)
+    more, also = index.changes(before, after, 2, moved)
+    postings = spark.createDataFrame(first.unionByName(more).collect(), index.POSTINGS)
+    stats = spark.createDataFrame(moved.unionByName(also).collect(), index.STATS)
+    found = lambda: sorted((r.query_id, r.segment_no, r["rank"], r.node_id, round(r.score, 9)) for r in index.search(postings, stats, asked, 2).collect())
+    few = found()
+    monkeypatch.setattr(index, "MANY", 100)
+    monkeypatch.setattr(index, "scored", None)
+    assert found() == few and len(few) == 24
+
+
 def test_streamed_folds_are_the_plain_loops(spark):
     rng = random.Random(2)
     lists = [[rng.randint(0, 30) for _ in range(rng.randint(0, 50))] for _ in range(12)] + [[1] * 3000]
