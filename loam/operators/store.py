@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from loam.functions.text import normalise
 
 SCHEMA_VERSION = 8
+GROUP = 20_000  #: operations that are folded in one group, about
 
 
 def normalised(text: str) -> str:
@@ -229,39 +230,31 @@ def touched(commits: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
     return null(memories, "memory").unionByName(null(known, "session")).unionByName(null(marks, "mark")).unionByName(null(heads, "head"))
 
 
-def _null(v):
-    return None if pd.isna(v) else v
-
-
-def _int(v) -> int | None:
-    return None if pd.isna(v) else int(v)
-
-
-def _fold_workspace(key: tuple, rows: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-    ws, w, out = key[0], Workspace(), []
-    for r in met.itertuples():
-        if r.tag == "memory":
-            w.load(Memory(int(r.memory_id), r.kind, r.text, r.state, int(r.current_version_id), int(r.recurrence), set(), _null(r.retired_session), _null(r.retired_evidence)))
-        elif r.tag == "mark":
-            w.checkpoints[r.session_id] = {"session_id": r.session_id, "content_hash": _null(r.content_hash), "mtime_ms": int(r.mtime_ms), "offset": _int(r.offset), "total": _int(r.total)}
-        elif r.tag == "head":
-            w.n_memories, w.n_versions = int(r.n_memories), int(r.n_versions)
-    for r in met.itertuples():
-        if r.tag == "session":
-            w.memories[int(r.memory_id)].sessions.add(r.session_id)
+def _fold_workspace(rows: list[dict], met: list[dict]) -> list[dict]:
+    """New commits of one workspace (rows of LOG, in order) and what they meet (MET) -> rows of TAGGED, as far as they are not null."""
+    w, out = Workspace(), []
+    for r in met:
+        if r["tag"] == "memory":
+            w.load(Memory(r["memory_id"], r["kind"], r["text"], r["state"], r["current_version_id"], r["recurrence"], set(), r["retired_session"], r["retired_evidence"]))
+        elif r["tag"] == "mark":
+            w.checkpoints[r["session_id"]] = {k: r[k] for k in ("session_id", "content_hash", "mtime_ms", "offset", "total")}
+        elif r["tag"] == "head":
+            w.n_memories, w.n_versions = r["n_memories"], r["n_versions"]
+    for r in met:
+        if r["tag"] == "session":
+            w.memories[r["memory_id"]].sessions.add(r["session_id"])
     last, marked = 0, set()
-    ordered = rows.sort_values(["commit_seq", "op_seq"]).itertuples(index=False)
-    for seq, own in itertools.groupby(ordered, key=lambda r: r.commit_seq):
+    for seq, own in itertools.groupby(rows, key=lambda r: r["commit_seq"]):
         ops = list(own)
-        first, last = ops[0], int(seq)
-        if first.op == BY_HAND:
-            w.forget(int(first.memory_id))
+        first, last = ops[0], seq
+        if first["op"] == BY_HAND:
+            w.forget(first["memory_id"])
             continue
-        entry = {"session_id": first.session_id, "content_hash": _null(first.content_hash), "mtime_ms": int(first.mtime_ms), "offset": _int(first.offset), "total": _int(first.total), "generation": int(first.generation)}
-        entry["operations"] = [{"op": r.op, "kind": _null(r.kind), "memory_id": _int(r.memory_id), "memory_text": _null(r.memory_text), "evidence_text": _null(r.evidence_text)} for r in ops]
+        entry = {k: first[k] for k in ("session_id", "content_hash", "mtime_ms", "offset", "total", "generation")}
+        entry["operations"] = [{k: r[k] for k in ("op", "kind", "memory_id", "memory_text", "evidence_text")} for r in ops]
         try:
             w.commit(entry)
-            marked.add(first.session_id)
+            marked.add(first["session_id"])
         except CommitError as e:
             out.append({"tag": "rejected", "commit_seq": last, "error": str(e)})
     for m in (w.memories[k] for k in sorted(w.changed & w.memories.keys())):
@@ -269,8 +262,23 @@ def _fold_workspace(key: tuple, rows: pd.DataFrame, met: pd.DataFrame) -> pd.Dat
     out += [{"tag": "version", **{k: v for k, v in version.items() if k != "evidence"}, "evidence_text": version["evidence"]} for version in w.versions]
     out += [{"tag": "mark", "session_id": k, **{c: w.checkpoints[k][c] for c in ("content_hash", "mtime_ms", "offset", "total")}, "seq": last} for k in sorted(marked & w.checkpoints.keys())]
     out.append({"tag": "head", "n_memories": w.n_memories, "n_versions": w.n_versions + len(w.versions), "seq": last})
-    frame = pd.DataFrame(out).assign(workspace_id=ws).reindex(columns=_names(TAGGED))
-    return frame.astype({c: "Int64" if kind == "long" else object for c, kind in (x.split() for x in TAGGED.split(", "))})
+    return out
+
+
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+_OUT = pa.schema([(c, ARROW[kind]) for c, kind in (x.split() for x in TAGGED.split(", "))])
+
+
+def _fold_group(rows: pa.Table, met: pa.Table) -> pa.Table:
+    """The workspaces of a group, one after the other: what a group costs beyond its rows is paid once, not by each workspace."""
+    known: dict[str | None, list[dict]] = {}
+    for r in met.to_pylist():
+        known.setdefault(r["workspace_id"], []).append(r)
+    out = []
+    place = lambda r: (r["workspace_id"] is None, r["workspace_id"] or "", r["commit_seq"], r["op_seq"])
+    for ws, own in itertools.groupby(sorted(rows.to_pylist(), key=place), key=lambda r: r["workspace_id"]):
+        out += [{**r, "workspace_id": ws} for r in _fold_workspace(list(own), known.get(ws, []))]
+    return pa.Table.from_pylist(out, schema=_OUT)
 
 
 @dataclass(frozen=True)
@@ -294,10 +302,13 @@ class Folded:
 def fold_commits(commits: DataFrame, state: dict[str, DataFrame] | None = None) -> Folded:
     """Fold new commits (LOG, later than all that the state saw) onto a state (tables of STATE; none: an empty one).
 
-    A commit that fails is left out whole, and named in `rejected`. A workspace's new commits are folded in one task, in order.
+    A commit that fails is left out whole, and named in `rejected`. A workspace's new commits are folded in one task, in order; workspaces share
+    groups of some GROUP operations.
     """
     met = touched(commits, state) if state is not None else commits.sparkSession.createDataFrame([], MET)
-    return Folded(commits.groupBy("workspace_id").cogroup(met.groupBy("workspace_id")).applyInPandas(_fold_workspace, TAGGED))
+    groups = -(-commits.count() // GROUP) or 1
+    group = F.pmod(F.xxhash64("workspace_id"), F.lit(groups)).alias("group")
+    return Folded(commits.groupBy(group).cogroup(met.groupBy(group)).applyInArrow(_fold_group, TAGGED))
 
 
 def fold(log: DataFrame) -> DataFrame:

@@ -302,3 +302,15 @@ def test_old_stores_migrate_and_damaged_ones_are_refused(spark, tmp_path):
     rewrite(schema_version=3)
     with pytest.raises(ValueError, match="older than any"):
         s.open(tables)
+
+
+def test_workspaces_share_groups(spark, monkeypatch):
+    """Many workspaces in one group, or one in each, come out the same."""
+    ops = [(f"w{k % 7}", k // 7, 0, "s", str(k), k, 1, 1, 0, ("create", "update", "forget")[k // 7 % 3], "fact", 1, f"says {k % 3}", "e") for k in range(63)]
+    log = spark.createDataFrame(ops, store.LOG)
+    found = []
+    for size in (1, 1000):
+        monkeypatch.setattr(store, "GROUP", size)
+        rows = store.fold_commits(log).rows
+        found.append(sorted(map(str, rows.collect())))
+    assert found[0] == found[1] and len({r for r in found[0] if "tag='head'" in r}) == 7
