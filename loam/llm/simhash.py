@@ -14,8 +14,8 @@ With at most 4 errors over three segments, either a segment has none, or two seg
 Keys only propose: each candidate pair is verified on all 64 bits. Only connectivity is asked for, so no bucket is
 expanded into all its pairs: the members of a bucket of exact keys are first tested against its least fingerprint, which
 joins a group of near copies with as many rows as it has members; after that buckets within one component are left out,
-and elsewhere only the members outside the bucket's largest component are tested against the others. A bucket that still
-holds more than CROWD components is dealt into finer ones before that: its pairs differ in few of the bits that its key
+and elsewhere only the members outside the bucket's largest component are tested against the others. A bucket that would
+still take more than CROWD tests is dealt into finer ones before that: its pairs differ in few of the bits that its key
 leaves open, so those are cut into one piece more than errors, of which one has none and makes the key longer. All of this
 is on distinct fingerprints; copies share theirs. Fingerprints, roots and hubs with a good share of the rows stay where
 they are in joins.
@@ -45,7 +45,7 @@ DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  #: (first bit, bits)
 GENERATOR = 0b101011100011  #: fixed value: the generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 RUN = 1 << 16  #: shingles whose bits are counted at a time
-CROWD = 32  #: components of a bucket beyond which it is dealt into finer ones
+CROWD = 1024  #: tests of a bucket (members outside its largest component against all) beyond which it is dealt into finer ones
 SPREAD = 20_000  #: fingerprints whose keys one task makes, about
 
 
@@ -221,13 +221,13 @@ MEMBER = "key long, fp long, root long, side byte"
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets where a left side and a right side come from two components, with the bucket's largest component (main) and their number (roots)."""
+    """The members of buckets where a left side and a right side come from two components, with the bucket's largest component (main) and the tests of the members outside of it against all (pairs)."""
     on = lambda side: F.when(F.col("side") != side, F.col("root"))
     ends = members.groupBy("key").agg(F.min(on(RIGHT)).alias("l"), F.max(on(RIGHT)).alias("ll"), F.min(on(LEFT)).alias("r"), F.max(on(LEFT)).alias("rr"))
     shared = ends.filter("l is not null and r is not null and (l <> r or l <> ll or r <> rr)").select("key")
-    kept = written(members.join(shared, "key"), "simhash-shared")
+    kept = written(members.join(shared, "key", "left_semi"), "simhash-shared")
     sizes = kept.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") * (F.sum("n") - F.max("n"))).alias("pairs"))
     out = written(kept.join(main, "key"), "simhash-open")
     forget(kept)
     return out
@@ -253,8 +253,8 @@ def link(fps: DataFrame) -> DataFrame:
     keyed = written(labelled.repartition(spread).mapInArrow(_keyed, MEMBER), "simhash-keys")
     members = _open(keyed)
     forget(keyed)
-    links = _cross(members.filter(F.col("roots") <= CROWD))
-    crowded, finer = members.filter(F.col("roots") > CROWD).select("key", "fp", "root", "side"), []
+    links = _cross(members.filter(F.col("pairs") <= CROWD))
+    crowded, finer = members.filter(F.col("pairs") > CROWD).select("key", "fp", "root", "side"), []
     if not crowded.isEmpty():
         finer = [_open(crowded.mapInArrow(_finer, MEMBER))]
         links = links.unionByName(_cross(finer[0]))

@@ -144,3 +144,10 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     assert {r.fp for r in got if r.doc_id in (3, 4, 5)} == {0}
     assert {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_two_large_components_of_a_bucket_are_dealt_into_finer_ones(spark):
+    """The tests that a bucket would take count, not its components."""
+    rows = [(1, k, k // 60, simhash.EXACT) for k in range(120)] + [(2, k, k // 3, simhash.EXACT) for k in range(6)]
+    got = {r.key: r.pairs for r in simhash._open(spark.createDataFrame(rows, simhash.MEMBER)).collect()}
+    assert got == {1: 120 * 60, 2: 6 * 3} and got[1] > simhash.CROWD >= got[2]
