@@ -150,7 +150,7 @@ def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     for _ in range(9):
         out = 10 * out + (10 * rest) // total
         rest = (10 * rest) % total
-    return out + 1 + UNIT * (count // total) * (count >= total)
+    return out + 1  # a count equal to its total leaves no rest after the first digit, which is 10
 
 
 def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
