@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm import language_id, line_dedup, mixing, near_text, sentencepiece_codec
-from loam.llm.common import table, word_count, written
+from loam.llm import language_id, line_dedup, mixing, near_text, sentencepiece_codec, simhash
+from loam.llm.common import release_shuffles, table, word_count, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,17 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (four fifths of their 5-word shingles) one row stays: that with the smallest (doc_id, hash of the text), null ids last.
+    """Of each group of near copies one row stays: that with the smallest (doc_id, hash of the text), null ids last.
 
+    Two texts are near copies by op4's SimHash (4 bits or fewer), or where they share four fifths of their 5-word shingles, which
+    SimHash alone leaves apart at 5 to 14 bits. Both kinds of links make one set of components, so that a chain may hold either.
     Ids need not be unique: rows with the same id, or none, go only where they are near copies. Rows alike in id and hash go by their other columns.
     """
-    rows = near_text.near_duplicates(docs).groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n"))
+    texts = docs.select(near_text.fp_of("text").alias("doc_id"), "text")  # op4's operator, told apart by text
+    hashed = simhash.near_duplicates(texts).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    hashed = written(hashed.distinct(), "pipeline-simhash")
+    release_shuffles(spark)
+    rows = near_text.near_duplicates(docs, hashed).groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")
     first = rows.groupBy("root").agg(F.min(rank).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.fp").alias("__fp"), F.col("x.n").alias("__n"))
     first = written(first, "pipeline-first")

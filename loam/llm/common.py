@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.shared import cleanup, forget, shared_dir, written  # noqa: F401  the operators take them from here
+from loam.shared import cleanup, forget, release_shuffles, shared_dir, written  # noqa: F401  the operators take them from here
 
 #: White space of the word, line and size contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

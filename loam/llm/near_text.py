@@ -7,11 +7,12 @@ many texts quote gives no keys unless it is most of a text.
 
 Keys only propose: sizes and places in the order rule pairs out, then bit maps of the shingles do (each bit that one has alone
 is a shingle that it has alone), and the others are verified on all shingles. Only connectivity is
-asked for, so the members of a bucket are first tested against its least one, and where that leaves many apart, those
+asked for, so the members of a bucket are first tested against its least one, and in buckets where that leaves many apart, those
 outside the bucket's largest component against a member of it, a few times; then buckets within one component are left
-out, and elsewhere only the members outside the bucket's largest component are tested against the others. A bucket counts
-for a pair only if its shingle is the first that the two share. (A crowd of texts of which each pair shares nearly enough
-and none enough is still tested pair by pair.)
+out, and elsewhere only the members outside the bucket's largest component are tested against the others. A pair of them
+must share as many keys as it takes: of s shared shingles, the keys of the text whose last key comes first hold all but
+those that it has alone, so n // 5 + 1 - (n - s) at least are keys of both. (A crowd of texts of which each pair shares
+nearly enough and none enough is still tested pair by pair.) Links that another method has found come in with the first ones.
 
 Edge cases: as in `simhash`: A-Z alone fold, exactly U+0020 and U+0009 to U+000D split; under 5 words, the whole sequence is
 the only shingle; texts without words (null, empty, white space) are copies of each other and of nothing else; a null
@@ -97,16 +98,33 @@ def possible(n: int, a: np.ndarray, m: int, b: np.ndarray) -> bool:
     return (PART + WHOLE) * min(n - alone(a, b), m - alone(b, a)) >= PART * (n + m)
 
 
-def _fit(a: str, b: str, first: bool = True) -> Column:
-    """Whether two members of a bucket (size n_, place p_ of the key) can be similar; first: if the key is the first that they share.
-
-    If it is not, the bucket of the first one, which comes earlier in both, tells.
-    """
+def _fit(a: str, b: str) -> Column:
+    """Whether two members of a bucket (size n_, place p_ of the key) can be similar."""
     n, m, p, q = (F.col(x) for x in (f"n_{a}", f"n_{b}", f"p_{a}", f"p_{b}"))
-    shared = 1 + F.least(n - p - 1, m - q - 1) + (0 if first else F.least(p, q))
+    shared = 1 + F.least(n - p - 1, m - q - 1) + F.least(p, q)
     return (PART + WHOLE) * shared >= PART * (n + m)
 
 
+def least_keys(n: Column, m: Column) -> Column:
+    """How many keys similar sets of n and m members have in common at least."""
+    return F.ceil(PART * (n + m) / (PART + WHOLE)) + 1 - F.ceil(PART * F.greatest(n, m) / WHOLE)
+
+
+def loads(rooted: DataFrame) -> DataFrame:
+    """rooted (key, n, p, root, main) -> key, rows, tests: about how many pairs of a bucket get past sizes and places.
+
+    Similar sets differ in size by a fourth at most, and of two, the smaller has the first shared key in its first ninth.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(WHOLE / PART)))
+    out, early = F.col("root") != F.col("main"), 9 * F.col("p") <= F.col("n")
+    one = lambda x: x.cast("long")
+    own = rooted.select("key", band.alias("band"), one(out & early).alias("out_early"), one(~out & early).alias("in_early"), F.lit(1).cast("long").alias("rows"), F.lit(1).cast("long").alias("all"), one(out).alias("out"))
+    below = own.select("key", (F.col("band") - 1).alias("band"), *(F.lit(0).cast("long").alias(x) for x in ("out_early", "in_early", "rows")), "all", "out")
+    cells = own.unionByName(below).groupBy("key", "band").agg(*(F.sum(x).alias(x) for x in ("out_early", "in_early", "rows", "all", "out")))
+    tests = F.col("out_early") * F.col("all") + F.col("in_early") * F.col("out")
+    return cells.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum(tests).alias("tests"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) -> those whose texts (fp, text) are similar; sets (fp, n, bits)."""
 
@@ -140,8 +158,11 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
-def link(texts: DataFrame) -> DataFrame:
-    """texts (fp, text; the same text has the same fp) -> (fp, root) of those that have a near copy; root is the component's least fp."""
+def link(texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """texts (fp, text; the same text has the same fp) -> (fp, root) of those that have a near copy; root is the component's least fp.
+
+    known: links (a, b) of fps that hold whatever the texts share.
+    """
     common, counts = common_shingles(texts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,36 +181,40 @@ def link(texts: DataFrame) -> DataFrame:
     least = F.min(F.struct("fp", "n", "p")).over(bucket).alias("least")
     open_ = written(members.select("*", least, F.max("fp").over(bucket).alias("top")).filter("least.fp <> top").drop("top"), "near-open")
     stars = open_.select("fp", F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("least.fp").alias("b"), F.col("least.n").alias("n_b"), F.col("least.p").alias("p_b"))
-    stars = stars.filter((F.col("fp") != F.col("b")) & _fit("a", "b", first=False)).select(F.col("fp").alias("a"), "b")
+    stars = stars.filter((F.col("fp") != F.col("b")) & _fit("a", "b")).select(F.col("fp").alias("a"), "b")
     tried = written(stars.distinct(), "near-stars")
-    first = written(components(verified(tried, texts, sets)), "near-first")
+    links = verified(tried, texts, sets)
+    first = written(components(links.unionByName(known.select("a", "b")) if known is not None else links), "near-first")
     for again in range(STARS + 1):
         rooted = open_.drop("least").join(first, open_["fp"] == first["node"], "left").select("key", "fp", "n", "p", F.coalesce("root", "fp").alias("root"))
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"), F.sum("size").alias("all"), F.max("size").alias("in_main"))
         rooted = written(rooted.join(main.filter("roots > 1").drop("roots"), "key"), "near-rooted")
-        # What testing all that lies outside of the main components against its bucket would come to: of two, the larger has the key in its first ninth.
-        outside = (F.col("root") != F.col("main")) & (9 * F.col("p") <= F.col("n"))
-        ends = rooted.agg(F.count("*").alias("rows"), F.sum(F.when(outside, F.col("all"))).alias("pairs")).first()
-        if again == STARS or (ends.pairs or 0) <= CROWDED * ends.rows:
+        load = written(loads(rooted), "near-loads")
+        ends = load.agg(F.sum("rows").alias("rows"), F.sum("tests").alias("tests")).first()
+        if again == STARS or (ends.tests or 0) <= CROWDED * (ends.rows or 0):
             break
-        # Large groups whose members are near each other, but not all near the least: more stars, around members of the main component.
+        # Large groups whose members are near each other, but not all near the least: more stars there, around members of the main component.
         centre = lambda k: F.min_by(F.struct("fp", "n", "p"), F.struct(F.xxhash64("fp", F.lit(again * CENTRES + k)), "fp"))
-        centres = rooted.filter("root = main").groupBy("key").agg(F.array_distinct(F.array(*(centre(k) for k in range(CENTRES)))).alias("centres"))
+        crowded = rooted.join(load.filter(F.col("tests") > CROWDED * F.col("rows")).select("key"), "key", "left_semi")
+        centres = crowded.filter("root = main").groupBy("key").agg(F.array_distinct(F.array(*(centre(k) for k in range(CENTRES)))).alias("centres"))
         pairs = rooted.filter("root <> main").join(centres, "key").withColumn("centre", F.explode("centres"))
         pairs = pairs.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("centre.fp").alias("b"), F.col("centre.n").alias("n_b"), F.col("centre.p").alias("p_b"))
-        pairs = pairs.filter(_fit("a", "b", first=False)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = pairs.filter(_fit("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "near-stars")
         links = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         first = written(components(links.unionByName(verified(pairs, texts, sets))), "near-first")
         tried = tried.unionByName(pairs)
         forget(rooted)
+        forget(load)
     forget(open_)
     side = lambda x: [F.col("key"), F.col("fp").alias(x), F.col("root").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}")]
     some = rooted.filter("root <> main").select(*side("a"))
     cross = some.join(rooted.select(*side("b"), F.col("root").eqNullSafe(F.col("main")).alias("in_main")), "key")
     cross = cross.filter((F.col("r_a") != F.col("r_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _fit("a", "b"))
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # One row a key that the two share; how many it takes follows from the pair.
+    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), least_keys(F.col("n_a"), F.col("n_b")).alias("least"))
+    cross = cross.groupBy("a", "b", "least").agg(F.count("*").alias("shared")).filter("shared >= least").select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = verified(written(cross, "near-cross"), texts, sets)
     forget(rooted)
     edges = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
@@ -202,11 +227,14 @@ def fp_of(text: str) -> Column:
     return F.when(wordless, F.lit(0).cast("long")).otherwise(F.xxhash64(text))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (a hash of the text), root (the component's least fp), component_id (its smallest doc_id) for each row of docs."""
+def near_duplicates(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, fp (a hash of the text), root (the component's least fp), component_id (its smallest doc_id) for each row of docs.
+
+    known: further links (a, b) between texts, by fp_of.
+    """
     texts = docs.select(fp_of("text").alias("fp"), "text", "doc_id")
     least = written(texts.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "near-distinct")
-    roots = written(link(texts.select("fp", "text")), "near-roots")
+    roots = written(link(texts.select("fp", "text"), known), "near-roots")
     joined = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     named = hot_join(joined.select("fp", "root"), groups.select("root", "component_id"), "root", hot_keys(groups, "root"))

@@ -1,5 +1,8 @@
 import random
 
+import xxhash
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loam.llm import near_text
 
@@ -97,3 +100,53 @@ def test_maps_rule_out_no_similar_pair():
                 assert fit or not near_text.similar(a, b)
                 ruled_out += not fit
     assert ruled_out > 1000
+
+
+def test_stage_joins_links_by_simhash_and_by_shingles(spark):
+    """0 and 1 are near by op4's rule alone (repeats count there), 1 and 2 by their sets of shingles alone; the chain is one group."""
+    from loam.llm import simhash
+
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    refrain = [word() for _ in range(31)] * 40
+    one = refrain + [word() for _ in range(200)]
+    texts = [" ".join(t) for t in (refrain + [word() for _ in range(20)], one, refrain[:31] + one[-200:], [word() for _ in range(300)])]
+    prints = [simhash.fingerprint(t) for t in texts]
+    sets = [plain_set(t) for t in texts]
+    by_hash = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4
+    by_sets = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert by_hash(0, 1) and not by_sets(0, 1) and by_sets(1, 2) and not by_hash(1, 2) and not by_hash(0, 2) and not by_sets(0, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.no_near_duplicates(spark, docs, "").collect()) == [0, 3]
+
+
+def test_similar_sets_share_the_keys_that_it_takes(spark):
+    import numpy as np
+
+    none = np.zeros(0, np.int64)
+    rng = np.random.default_rng(1)
+    cases = []
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        own = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        drop, more = int(rng.integers(0, 1 + len(own) // 4)), int(rng.integers(0, 1 + n // 4))
+        other = np.unique(np.concatenate([rng.permutation(own)[drop:], rng.integers(-(1 << 62), 1 << 62, more)]))
+        if len(other) and near_text.similar(own, other):
+            keys = [near_text.prefix(x, none, none) for x in (own, other)]
+            cases.append((len(own), len(other), len(np.intersect1d(*keys))))
+    found = spark.createDataFrame(cases, "n long, m long, shared long").withColumn("least", near_text.least_keys(F.col("n"), F.col("m"))).collect()
+    assert len(found) > 1000 and all(r.shared >= r.least for r in found)
+    assert any(r.shared == r.least > 1 for r in found)
+
+
+def test_texts_of_many_sizes_with_one_quote_need_no_more_stars(spark, monkeypatch):
+    """Sizes alone rule their pairs out, so what is made stays in proportion to the texts, however many share the quote."""
+    made_tables = []
+    old = near_text.written
+    monkeypatch.setattr(near_text, "SAMPLE", 1)
+    monkeypatch.setattr(near_text, "written", lambda df, name, *a: made_tables.append(name) or old(df, name, *a))
+    quote = min((" ".join(f"q{k}x{j}" for j in range(5)) for k in range(20000)), key=lambda t: (xxhash.xxh64_intdigest(t, 42) + 2**63) % 2**64)
+    texts = [(k, " ".join([quote, *(f"w{k}x{j}" for j in range(int(10 * 1.3**k)))])) for k in range(20)]
+    got = near_text.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k, _ in texts}
+    assert made_tables.count("near-stars") == 1
