@@ -249,6 +249,40 @@ def test_many_queries_meet_the_index_by_documents(spark, monkeypatch):
     assert found() == few and len(few) == 24
 
 
+def test_terms_are_counted_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SHARD_TERMS", 4)
+    texts = ["a b a Ä", None, "", "?!", "c " * 9, "b"]
+    docs = spark.createDataFrame([(k, t, -1) for k, t in enumerate(texts)], "node_id long, text string, sign int").coalesce(1)
+    got = {r.node_id: (dict(zip(r.terms, r.tfs, strict=True)), r.doc_len, r.sign) for r in lexical.counted(docs).collect()}
+    assert got == {0: ({"a": 3, "b": 1}, 4, -1), 1: ({}, 0, -1), 2: ({}, 0, -1), 3: ({}, 0, -1), 4: ({"c": 9}, 9, -1), 5: ({"b": 1}, 1, -1)}
+
+
+def test_postings_are_packed_across_batches(spark, monkeypatch):
+    """Blocks and documents that lie in several Arrow batches come out whole, as without such cuts."""
+    monkeypatch.setattr(index, "BLOCK", 8)
+    monkeypatch.setattr(index, "PIECE", 60)
+    monkeypatch.setattr(index, "MANY", 100)
+    docs, asked = _searched(spark)
+    gone = docs.filter("node_id % 5 = 0")
+    left = docs.join(gone, "node_id", "left_anti")
+    want = sorted((r.query_id, r.segment_no, r["rank"], r.node_id, round(r.score, 9)) for r in lexical.ranked(lexical.bm25(left, asked, most=4), most=4).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        first, stats = index.build(docs, 1)
+        rows = first.collect()
+        more, moved = index.changes(gone, docs.limit(0), 2, stats)
+        got = index.search(first.unionByName(more), stats.unionByName(moved), asked, 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.query_id, r.segment_no, r["rank"], r.node_id, round(r.score, 9)) for r in got) == want
+    blocks = {}
+    for r in rows:
+        assert r.n == len(r.nodes) <= 8 and r.nodes == sorted(r.nodes) and (r.max_tf, r.min_tf, r.max_len, r.min_len) == (max(r.tfs), min(r.tfs), max(r.lens), min(r.lens))
+        blocks.setdefault((r.term, r.piece), []).append((r.block, r.n))
+    assert all([b for b, _ in sorted(own)] == list(range(len(own))) and all(n == 8 for _, n in sorted(own)[:-1]) for own in blocks.values())
+    assert max(p for _, p in blocks) > 0
+
+
 def test_streamed_folds_are_the_plain_loops(spark):
     rng = random.Random(2)
     lists = [[rng.randint(0, 30) for _ in range(rng.randint(0, 50))] for _ in range(12)] + [[1] * 3000]
