@@ -2,6 +2,7 @@ import random
 import sqlite3
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -337,3 +338,31 @@ def test_default_embedder(spark):
     assert embedder.Hashed()(["Prefer tabs over spaces"])[0] == a
     rows = spark.createDataFrame([("Prefer tabs over spaces",), (None,)], "t string").repartition(2).select(embedder.embedded(F.col("t")).alias("v")).collect()
     assert sorted((r.v for r in rows), key=lambda v: v is None) == [a, None]
+
+
+def test_a_block_of_vectors_meets_all_queries_of_a_cell_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    table = lambda rows: pa.Table.from_batches(vectors._packer(rng.normal(size=(8, 4)), 0.15)([pa.RecordBatch.from_pylist(rows)]))
+    row = lambda q, n, v: {"query_id": q, "segment_no": 0, "node_id": n, "vector": [float(x) for x in v]}
+    asked, stored = rng.normal(size=(30, 4)), rng.normal(size=(90, 4))
+    calls, plain = [], vectors.cosine
+    monkeypatch.setattr(vectors, "cosine", lambda a, b: calls.append(1) or plain(a, b))
+    left, right = table([row(k, 0, v) for k, v in enumerate(asked)]), table([row(0, k, v) for k, v in enumerate(stored)])
+    found = vectors._cell(0.15)((0, 0), left, right).to_pylist()
+    want = {(q, n) for q, n in zip(*np.nonzero(plain(asked, stored) >= 0.15), strict=True)}
+    assert {(r["query_id"], r["node_id"]) for r in found} == want and len(found) == len(want)
+    assert left.num_rows > 1 and len(calls) == right.num_rows
+
+
+def test_the_first_units_need_no_more_rows_than_they_hold(spark, monkeypatch):
+    """Rows that cannot be among a query's first units are left out before texts are looked at; nodes without a text take no place."""
+    rng = random.Random(9)
+    lex = [(q, n, k + 1) for q in range(3) for k, n in enumerate(rng.sample(range(200), 20))]
+    sem = [(q, n, k + 1, 1 - k / 200) for q in range(3) for k, n in enumerate(rng.sample(range(200), 150))]
+    fused = retrieval.fuse(spark.createDataFrame(lex, "query_id long, node_id long, rank int"), spark.createDataFrame(sem, "query_id long, node_id long, rank int, score double"))
+    sizes = spark.createDataFrame([(n, 1 + n % 5) for n in range(200) if n % 6], "node_id long, chars long")
+    first = lambda rows: sorted(map(tuple, budgets.prefix_budget(rows.join(sizes, "node_id"), ["query_id"], [F.desc(F.round("score", 12)), "node_id"], "chars", 40, 15).select("query_id", "node_id").collect()))
+    some = retrieval.leading(fused, 15, 34)
+    assert first(some) == first(fused) and len(first(some)) > 30
+    assert some.count() < fused.count() * 0.7
+    assert retrieval.leading(fused, 15, retrieval.CERTAIN) is fused
