@@ -366,3 +366,12 @@ def test_the_first_units_need_no_more_rows_than_they_hold(spark, monkeypatch):
     assert first(some) == first(fused) and len(first(some)) > 30
     assert some.count() < fused.count() * 0.7
     assert retrieval.leading(fused, 15, retrieval.CERTAIN) is fused
+
+
+def test_documents_without_an_id_are_hits_without_one(spark, monkeypatch):
+    monkeypatch.setattr(index, "MANY", 0)
+    docs = spark.createDataFrame([(None, "w1 w2"), ((1 << 60) + 1, "w1"), (3, "w3 w4")], "node_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, 0, "w1")], "query_id long, segment_no int, text string")
+    want = {None, (1 << 60) + 1}
+    assert {r.node_id for r in lexical.bm25(docs, asked, most=5).collect()} == want
+    assert {r.node_id for r in index.search(*index.build(docs, 1), asked, 5).collect()} == want
